@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +37,20 @@ def l2_distance(a: Column, b: Column) -> Column:
     )
 
 
-def l2_distance_to(vec: Column, query: Sequence[float]) -> Column:
-    """Distance to a fixed vector, one arithmetic term per dimension.
+def l2_distance_to(vec: str, query: Sequence[float]) -> Column:
+    """Distance of a vector column to a fixed vector, one arithmetic term per dimension.
 
     Plain arithmetic stays inside generated code; the lambda form of `l2_distance` is interpreted
-    per element.
+    per element. One parsed expression is far quicker to build than a tree of column objects.
     """
-    terms = []
-    for i, value in enumerate(query):
-        diff = vec[i].cast("double") - F.lit(float(value))
-        terms.append(diff * diff)
+    values = [float(x) for x in query]
+    if not values or not all(map(math.isfinite, values)):
+        raise ValueError("a query vector needs finite numbers")
+    terms = [f"power(CAST({vec}[{i}] AS DOUBLE) - {x!r}D, 2)" for i, x in enumerate(values)]
     # Adding pairwise keeps the expression tree shallow for vectors of many dimensions.
     while len(terms) > 1:
-        terms = [reduce(add, terms[i:i + 2]) for i in range(0, len(terms), 2)]
-    return F.when(F.size(vec) == len(query), F.sqrt(terms[0])).otherwise(
+        terms = ["(" + " + ".join(terms[i:i + 2]) + ")" for i in range(0, len(terms), 2)]
+    return F.when(F.size(vec) == len(values), F.expr(f"sqrt({terms[0]})")).otherwise(
         F.raise_error(F.lit("vectors of different length"))
     )
 
@@ -66,16 +63,20 @@ def checked_vector(vec: Column, dim: int) -> Column:
     )
 
 
-def masked_mean_pool(tokens: DataFrame, key: str, vec: str = "vec", mask: str = "mask") -> DataFrame:
+def masked_mean_pool(
+    tokens: DataFrame, key: str, dim: int, vec: str = "vec", mask: str = "mask"
+) -> DataFrame:
     """One vector per text: sum(vec * mask) / max(sum(mask), 1e-9).
 
-    Sums are combined on the map side, so a text with very many tokens reaches its reducer as a
-    few partial vectors. Texts whose mask is all zero give a zero vector.
+    One sum per dimension keeps the aggregation in generated code with fixed-size buffers. Sums are
+    combined on the map side, so a text with very many tokens reaches its reducer as a few partial
+    vectors. Texts whose mask is all zero give a zero vector.
     """
-    weighted = F.transform(F.col(vec), lambda x: x.cast("double") * F.col(mask))
-    sums = tokens.groupBy(key).agg(
-        Summarizer.sum(array_to_vector(weighted)).alias("_total"),
-        F.sum(F.col(mask).cast("double")).alias("_weight"),
+    weight = F.col(mask).cast("double")
+    checked = tokens.select(key, weight.alias("_weight"), checked_vector(F.col(vec), dim).alias("_vec"))
+    sums = checked.groupBy(key).agg(
+        F.sum("_weight").alias("_weight"),
+        *[F.sum(F.col("_vec")[i].cast("double") * F.col("_weight")).alias(f"_sum_{i}") for i in range(dim)],
     )
     floor = F.greatest(F.col("_weight"), F.lit(MIN_MASK_SUM))
-    return sums.select(key, F.transform(vector_to_array("_total"), lambda x: x / floor).alias(vec))
+    return sums.select(key, F.array(*[F.col(f"_sum_{i}") / floor for i in range(dim)]).alias(vec))

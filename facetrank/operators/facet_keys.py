@@ -1,7 +1,7 @@
 """Matching many requests with a catalog by equality on facet keys.
 
 A request asks for some facets and leaves the others open. A *facet key* is one such choice: which
-facets are asked for (`mask`), the values of the four scalar ones (`base`) and the colour. An article
+facets are asked for (`mask`) and their values, with an empty string for the open ones. An article
 carries one key per mask, 32 in all, so "request matches article" becomes an equi-join on the
 key and no request is compared with articles that it does not match.
 """
@@ -16,23 +16,23 @@ from pyspark.sql import functions as F
 
 from facetrank.functions.facets import is_set, list_or_empty
 from facetrank.schema import FACET_COLUMN, RELAX_ORDER
+from facetrank.shared import write_once
 
 FACETS = [FACET_COLUMN[f] for f in RELAX_ORDER]
-KEY = ["mask", "base", "colour"]
 
-_SCALARS = [f for f in RELAX_ORDER if f != "colores"]
 _BIT = {f: 1 << i for i, f in enumerate(RELAX_ORDER)}
-_COLOUR_BIT = _BIT["colores"]
 _ALL_MASKS = range(1 << len(RELAX_ORDER))
+_SCALARS = [f for f in RELAX_ORDER if f != "colores"]
+_SCALAR_KEY = ["mask", *[f"key_{f}" for f in _SCALARS]]
+KEY = [*_SCALAR_KEY, "key_colores"]
 
 
-def _has(mask: Column, name: str) -> Column:
-    return mask.bitwiseAND(F.lit(_BIT[name])) != 0
+def _has(name: str) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(_BIT[name])) != 0
 
 
-def _base(mask: Column, value) -> Column:
-    """Values of the scalar facets in the mask, as JSON text. Other facets are left out."""
-    return F.to_json(F.struct(*[F.when(_has(mask, f), value(f)).alias(f) for f in _SCALARS]))
+def _key_part(name: str, value: Column) -> Column:
+    return F.when(_has(name), value).otherwise(F.lit("")).alias(f"key_{name}")
 
 
 def same_or_both_null(left: DataFrame, right: DataFrame, columns) -> Column:
@@ -55,14 +55,12 @@ def _keys_of_tuples(tuples: DataFrame, masks: DataFrame) -> DataFrame:
     null_bits = reduce(
         add, [F.when(F.col(FACET_COLUMN[f]).isNull(), _BIT[f]).otherwise(0) for f in RELAX_ORDER]
     )
-    mask = F.col("mask")
     return (
         tuples.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in _ALL_MASKS])))
-        .filter(mask.bitwiseAND(null_bits) == 0)
+        .filter(F.col("mask").bitwiseAND(null_bits) == 0)
         # There are 32 masks at most.
         .join(F.broadcast(masks), "mask", "left_semi")
-        .withColumn("base", _base(mask, lambda f: F.col(FACET_COLUMN[f])))
-        .withColumn("colour", F.when(_has(mask, "colores"), F.col(FACET_COLUMN["colores"])))
+        .select("*", *[_key_part(f, F.col(FACET_COLUMN[f])) for f in RELAX_ORDER])
     )
 
 
@@ -73,13 +71,12 @@ def request_levels(requests: DataFrame, relax: bool = True) -> DataFrame:
     0 is produced. Excluded colours are asked for at every level.
     """
     last = len(RELAX_ORDER) if relax else 0
-    level = F.col("level")
 
     def asked(name: str) -> Column:
-        return is_set(name) & (level <= RELAX_ORDER.index(name))
+        return is_set(name) & (F.col("level") <= RELAX_ORDER.index(name))
 
     bits = [F.when(asked(f), _BIT[f]).otherwise(0) for f in _SCALARS]
-    bits.append(F.when(asked("colores") | is_set("colores_excluidos"), _COLOUR_BIT).otherwise(0))
+    bits.append(F.when(asked("colores") | is_set("colores_excluidos"), _BIT["colores"]).otherwise(0))
     return (
         requests.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(last + 1)])))
         .withColumn("mask", reduce(add, bits))
@@ -87,7 +84,7 @@ def request_levels(requests: DataFrame, relax: bool = True) -> DataFrame:
             "query_id",
             "level",
             "mask",
-            _base(F.col("mask"), F.col).alias("base"),
+            *[_key_part(f, F.col(f)) for f in _SCALARS],
             F.when(asked("colores"), F.col("colores")).alias("wanted"),
             list_or_empty("colores_excluidos").alias("unwanted"),
         )
@@ -95,22 +92,19 @@ def request_levels(requests: DataFrame, relax: bool = True) -> DataFrame:
 
 
 def matching_keys(levels: DataFrame, groups: DataFrame) -> DataFrame:
-    """(query_id, level, mask, base, colour, n): the existing keys that satisfy a request's level.
+    """(query_id, level, key, n): the existing keys that satisfy a request's level.
 
-    `n` is the number of variant groups under the key.
+    `n` is the number of variant groups under the key. A request that asks for or excludes colours gets
+    one key per colour that fits.
     """
     tuples = groups.groupBy(*FACETS).agg(F.count("*").alias("n"))
     masks = levels.select("mask").distinct()
     existing = _keys_of_tuples(tuples, masks).groupBy(*KEY).agg(F.sum("n").alias("n"))
-    colour = F.col("colour")
-    colour_fits = colour.isNull() | (
+    colour = F.col("key_colores")
+    colour_fits = ~_has("colores") | (
         F.coalesce(F.array_contains("wanted", colour), F.lit(True)) & ~F.array_contains("unwanted", colour)
     )
-    return (
-        levels.join(existing, ["mask", "base"])
-        .filter(colour_fits)
-        .select("query_id", "level", *KEY, "n")
-    )
+    return levels.join(existing, _SCALAR_KEY).filter(colour_fits).select("query_id", "level", *KEY, "n")
 
 
 def lowest_level(matches: DataFrame) -> DataFrame:
@@ -123,18 +117,29 @@ def lowest_level(matches: DataFrame) -> DataFrame:
     )
 
 
-def candidates(groups: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, product_code, article_id, variantes): one row per product under each key asked for.
+def number_keys(matches: DataFrame) -> DataFrame:
+    """(key_id, key, n, asking): the distinct keys of all requests, numbered.
 
-    A catalog row is repeated once per mask in use at most, never once per request.
+    Numbers are given while the table is written, so they are the same for all its readers, and later
+    shuffles carry a number instead of the facet values.
+    """
+    distinct = matches.groupBy(*KEY).agg(F.max("n").alias("n"), F.count("*").alias("asking"))
+    return write_once(distinct.withColumn("key_id", F.monotonically_increasing_id()), "keys")
+
+
+def candidates(groups: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key_id, product_code, article_id, variantes): one row per product under each numbered key.
+
+    A variant group is repeated once per mask in use at most, never once per request.
     """
-    asked = keys.select(*KEY).distinct()
     tuples = groups.select(*FACETS).distinct()
-    keyed = _keys_of_tuples(tuples, asked.select("mask").distinct())
-    keyed = keyed.join(asked, same_or_both_null(keyed, asked, KEY), "left_semi")
-    rows = groups.join(keyed, same_or_both_null(groups, keyed, FACETS)).select(
-        *KEY, "product_code", "article_id", "variantes"
+    keyed = (
+        _keys_of_tuples(tuples, asked.select("mask").distinct())
+        .join(asked.select("key_id", *KEY), KEY)
+        .select("key_id", *FACETS)
     )
-    return rows.groupBy(*KEY, "product_code").agg(
-        F.min("article_id").alias("article_id"), F.sum("variantes").alias("variantes")
+    return (
+        groups.join(keyed, same_or_both_null(groups, keyed, FACETS))
+        .groupBy("key_id", "product_code")
+        .agg(F.min("article_id").alias("article_id"), F.sum("variantes").alias("variantes"))
     )

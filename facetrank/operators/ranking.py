@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetrank.operators.cells import RANKED, nearest_in_cell
-from facetrank.operators.facet_keys import KEY
 from facetrank.schema import MAX_LIMIT
 
 # Products and requests of one cell: bounds what a task holds in memory at once.
@@ -14,21 +13,25 @@ CELL_ROWS = 32_768
 CELL_REQUESTS = 512
 
 def _cells(n: str, size: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(size))).cast("int")
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(size))).cast("long")
+
+
+def _all_cells(count: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
 
 
 def rank_candidates(
     candidates: DataFrame,
     vectors: DataFrame,
     keys: DataFrame,
-    requests: DataFrame,
+    asking: DataFrame,
     cell_rows: int = CELL_ROWS,
     cell_requests: int = CELL_REQUESTS,
 ) -> DataFrame:
     """(query_id, rank, product_code, article_id, variantes, distancia): top `limite` per request.
 
-    candidates: (key, product_code, article_id, variantes); keys: (query_id, key, n) with n rows
-    under the key; requests: (query_id, query_vec, limite).
+    candidates: (key_id, product_code, article_id, variantes); keys: (key_id, n, asking) with the number of
+    rows and of requests per key; asking: (query_id, key_id, query_vec, limite).
 
     The products under a key and the requests that ask for it are cut into cells of bounded size.
     Each cell meets its products and requests in one task and returns only its top rows, so a key
@@ -36,35 +39,32 @@ def rank_candidates(
     product are never stored. Any product of a request's final top is in the top of each of its
     cells, which makes the merged result exact.
     """
-    per_key = keys.groupBy(*KEY).agg(F.max("n").alias("_n"), F.count("*").alias("_asked"))
-    grid = per_key.select(
-        *[F.col(c).alias(f"_{c}") for c in KEY],
-        _cells("_n", cell_rows).alias("row_cells"),
-        _cells("_asked", cell_requests).alias("request_cells"),
+    grid = keys.select(
+        "key_id",
+        _cells("n", cell_rows).alias("row_cells"),
+        _cells("asking", cell_requests).alias("request_cells"),
     )
-
-    def on_grid(df: DataFrame) -> DataFrame:
-        same_key = [df[c].eqNullSafe(grid[f"_{c}"]) for c in KEY]
-        return df.join(grid, same_key[0] & same_key[1] & same_key[2]).drop(*[f"_{c}" for c in KEY])
-
     products = (
-        on_grid(candidates)
+        candidates.join(grid, "key_id")
         .join(vectors.select("product_code", "embedding"), "product_code")
         .withColumn("row_cell", F.pmod(F.xxhash64("product_code"), F.col("row_cells")))
-        .withColumn("request_cell", F.explode(F.sequence(F.lit(0), F.col("request_cells") - 1)))
-        .select(*KEY, "row_cell", "request_cell", "product_code", "article_id", "variantes", "embedding")
+        .withColumn("request_cell", F.explode(_all_cells("request_cells")))
     )
-    asking = (
-        on_grid(keys.select("query_id", *KEY))
-        .join(requests.select("query_id", "query_vec", F.col("limite").cast("int").alias("limite")), "query_id")
-        .filter("query_vec IS NOT NULL")
-        .withColumn("row_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_cells").cast("long") - 1)))
-        .withColumn("request_cell", F.pmod(F.xxhash64("query_id"), F.col("request_cells")).cast("int"))
-        .select(*KEY, "row_cell", "request_cell", "query_id", "query_vec", "limite")
+    requests = (
+        asking.filter("query_vec IS NOT NULL")
+        .join(grid, "key_id")
+        .withColumn("row_cell", F.explode(_all_cells("row_cells")))
+        .withColumn("request_cell", F.pmod(F.xxhash64("query_id"), F.col("request_cells")))
     )
-    cell = [*KEY, "row_cell", "request_cell"]
+    cell = ["key_id", "row_cell", "request_cell"]
     found = (
-        products.groupBy(*cell).cogroup(asking.groupBy(*cell)).applyInArrow(nearest_in_cell, RANKED)
+        products.select(*cell, "product_code", "article_id", "variantes", "embedding")
+        .groupBy(*cell)
+        .cogroup(
+            requests.select(*cell, "query_id", "query_vec", F.col("limite").cast("int").alias("limite"))
+            .groupBy(*cell)
+        )
+        .applyInArrow(nearest_in_cell, RANKED)
     )
     # A request for several colours meets a product once per colour.
     merged = found.groupBy("query_id", "product_code").agg(
@@ -72,11 +72,11 @@ def rank_candidates(
         F.sum("variantes").alias("variantes"),
         F.min("distancia").alias("distancia"),
     )
-    return keep_top(merged, requests, ["distancia", "product_code"])
+    return keep_top(merged, asking.select("query_id", "limite").distinct(), ["distancia", "product_code"])
 
 
-def keep_top(rows: DataFrame, requests: DataFrame, order: list[str]) -> DataFrame:
-    """Number the rows of each request and keep the first `limite`.
+def keep_top(rows: DataFrame, limits: DataFrame, order: list[str]) -> DataFrame:
+    """Number the rows of each request and keep the first `limite`; limits: (query_id, limite).
 
     The constant bound lets Spark cut each map task to its own top before the shuffle.
     """
@@ -84,7 +84,7 @@ def keep_top(rows: DataFrame, requests: DataFrame, order: list[str]) -> DataFram
     return (
         rows.withColumn("rank", F.row_number().over(by_request))
         .filter(F.col("rank") <= MAX_LIMIT)
-        .join(requests.select("query_id", "limite"), "query_id")
+        .join(limits, "query_id")
         .filter("rank <= limite")
         .drop("limite")
     )

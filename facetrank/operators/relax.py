@@ -15,13 +15,13 @@ def relaxed_keys(requests: DataFrame, groups: DataFrame) -> DataFrame:
     return lowest_level(matching_keys(request_levels(requests), groups))
 
 
-def apply_relaxation(requests: DataFrame, keys: DataFrame) -> DataFrame:
+def apply_relaxation(requests: DataFrame, matches: DataFrame) -> DataFrame:
     """Add `filtros_relajados` and one `aplicado_<field>` column per filter field.
 
     A request that matches nothing at any level loses every facet that can be relaxed. Excluded
     colours stay in force.
     """
-    levels = keys.select("query_id", "level").distinct()
+    levels = matches.select("query_id", "level").distinct()
     level = F.coalesce(F.col("level"), F.lit(len(RELAX_ORDER)))
     dropped = {f: is_set(f) & (level > i) for i, f in enumerate(RELAX_ORDER)}
     names = F.array_compact(F.array(*[F.when(dropped[f], F.lit(f)) for f in RELAX_ORDER]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from facetrank.functions.facets import bad_facet_values
 from facetrank.operators.facet_keys import (
-    KEY, candidates, matching_keys, request_levels, same_or_both_null, variant_groups,
+    KEY, candidates, matching_keys, number_keys, request_levels, variant_groups,
 )
 from facetrank.operators.products import with_article_columns
 from facetrank.operators.ranking import keep_top, rank_candidates
@@ -67,10 +67,13 @@ def search_batch(
     requests = _with_limit(requests)
     if groups is None:
         groups = write_once(variant_groups(catalog), "groups")
-    keys = write_once(relaxed_keys(requests, groups), "keys")
-    ranked = rank_candidates(candidates(groups, keys), vectors, keys.drop("level"), requests)
+    matches = write_once(relaxed_keys(requests, groups), "matches")
+    keys = number_keys(matches)
+    asking = matches.join(keys.select("key_id", *KEY), KEY).select("query_id", "key_id")
+    asking = asking.join(requests.select("query_id", "query_vec", "limite"), "query_id")
+    ranked = rank_candidates(candidates(groups, keys), vectors, keys, asking)
     return Answers(
-        apply_relaxation(requests, keys),
+        apply_relaxation(requests, matches),
         with_article_columns(ranked, catalog, small=False).select("query_id", "rank", *RANKED_RESULT),
     )
 
@@ -86,18 +89,20 @@ def facet_search_batch(
     requests = _with_limit(requests)
     if groups is None:
         groups = write_once(variant_groups(catalog), "groups")
-    keys = write_once(matching_keys(request_levels(requests, relax=False), groups), "keys")
-    by_key = Window.partitionBy(*KEY).orderBy("product_code")
+    matches = write_once(matching_keys(request_levels(requests, relax=False), groups), "matches")
+    keys = number_keys(matches)
+    by_key = Window.partitionBy("key_id").orderBy("product_code")
     first = (
         candidates(groups, keys)
         .withColumn("_position", F.row_number().over(by_key))
         .filter(F.col("_position") <= MAX_LIMIT)
     )
-    asking = keys.select("query_id", *KEY)
     merged = (
-        first.join(asking, same_or_both_null(first, asking, KEY))
+        matches.join(keys.select("key_id", *KEY), KEY)
+        .select("query_id", "key_id")
+        .join(first, "key_id")
         .groupBy("query_id", "product_code")
         .agg(F.min("article_id").alias("article_id"), F.sum("variantes").alias("variantes"))
     )
-    ranked = keep_top(merged, requests, ["product_code"])
+    ranked = keep_top(merged, requests.select("query_id", "limite"), ["product_code"])
     return with_article_columns(ranked, catalog, small=False).select("query_id", "rank", *FACET_RESULT)

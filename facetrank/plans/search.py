@@ -20,7 +20,8 @@ def facet_search(catalog: DataFrame, filters: Filters, limit: int = DEFAULT_LIMI
     """Products that pass the filters, by product code. The semantic text plays no part."""
     survivors = catalog.filter(facet_predicate(filters))
     top = one_per_product(survivors).orderBy("product_code").limit(check_limit(limit))
-    return with_article_columns(top, survivors, small=True).select(*FACET_RESULT).orderBy("product_code")
+    rows = with_article_columns(top, survivors, small=True).select(*FACET_RESULT)
+    return rows.orderBy("product_code").limit(limit)
 
 
 def facet_count(catalog: DataFrame, filters: Filters) -> DataFrame:
@@ -42,13 +43,14 @@ def hybrid_search(
     survivors = catalog.filter(facet_predicate(filters))
     ranked = one_per_product(survivors).join(vectors, "product_code").select(
         "product_code", "article_id", "variantes",
-        l2_distance_to(F.col("embedding"), query_vec).alias("distancia"),
+        l2_distance_to("embedding", query_vec).alias("distancia"),
     )
     top = ranked.orderBy("distancia", "product_code").limit(check_limit(limit))
     return (
         with_article_columns(top, survivors, small=True)
         .select(*RANKED_RESULT)
         .orderBy("distancia", "product_code")
+        .limit(limit)
     )
 
 
@@ -60,7 +62,7 @@ def nearest_products(
     The neighbours are picked from the vectors alone. One that has no article is not replaced.
     """
     nearest = (
-        vectors.select("product_code", l2_distance_to(F.col("embedding"), query_vec).alias("distancia"))
+        vectors.select("product_code", l2_distance_to("embedding", query_vec).alias("distancia"))
         .orderBy("distancia", "product_code")
         .limit(check_limit(limit))
     )
@@ -72,4 +74,5 @@ def nearest_products(
         with_article_columns(picked, catalog, small=True)
         .select(*RANKED_RESULT)
         .orderBy("distancia", "product_code")
+        .limit(limit)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Vocabularies of the given `part` table.
@@ -127,10 +129,13 @@ JOIN {embeddings} e ON e.vec_id = w.vec_id
 """
 
 
+# Tables stay open between queries, as in a service; no rows are cached.
+@lru_cache
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The DataFrame of one of the texts above over the tables in `sf_dir`."""
     used = {t: load(spark, sf_dir, t) for t in ("part", "documents", "embeddings") if f"{{{t}}}" in sql}
