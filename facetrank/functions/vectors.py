@@ -76,7 +76,8 @@ def masked_mean_pool(
     checked = tokens.select(key, weight.alias("_weight"), checked_vector(F.col(vec), dim).alias("_vec"))
     sums = checked.groupBy(key).agg(
         F.sum("_weight").alias("_weight"),
-        *[F.sum(F.col("_vec")[i].cast("double") * F.col("_weight")).alias(f"_sum_{i}") for i in range(dim)],
+        *[F.expr(f"sum(CAST(_vec[{i}] AS DOUBLE) * _weight)").alias(f"_sum_{i}") for i in range(dim)],
     )
+    totals = ", ".join(f"_sum_{i}" for i in range(dim))
     floor = F.greatest(F.col("_weight"), F.lit(MIN_MASK_SUM))
-    return sums.select(key, F.array(*[F.col(f"_sum_{i}") / floor for i in range(dim)]).alias(vec))
+    return sums.select(key, F.transform(F.expr(f"array({totals})"), lambda x: x / floor).alias(vec))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from facetrank.functions.text import EMBEDDED_COLUMNS, product_text
+from facetrank.functions.text import product_text
 from facetrank.operators.products import one_per_product
 from facetrank.sources.tables import check_vectors, read_vectors
 
@@ -21,15 +21,17 @@ def pending_products(catalog: DataFrame, vectors: DataFrame | None) -> DataFrame
 
 
 def product_texts(catalog: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """(product_code, texto) of the pending products.
+    """(product_code, texto) of the pending products, from their lowest article.
 
-    Only ids are shuffled to find them. Texts are read in a join on the article key, which is a
-    broadcast of ids when few products are pending.
+    For a whole build, texts are reduced to one per product on the map side, in a single scan. For an
+    extension, only ids are shuffled to find what is pending; its texts are then read in a join on the
+    article key, a broadcast of ids when few products are pending.
     """
-    texts = catalog.select("article_id", *EMBEDDED_COLUMNS)
-    return texts.join(pending_products(catalog, vectors), "article_id").select(
-        "product_code", product_text().alias("texto")
-    )
+    texts = catalog.select("article_id", "product_code", product_text().alias("texto"))
+    if vectors is None:
+        return texts.groupBy("product_code").agg(F.min_by("texto", "article_id").alias("texto"))
+    pending = pending_products(catalog, vectors).select("article_id")
+    return texts.join(pending, "article_id").select("product_code", "texto")
 
 
 def embed_products(catalog: DataFrame, vectors: DataFrame | None, encoder) -> DataFrame:

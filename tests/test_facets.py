@@ -1,0 +1,113 @@
+"""Facet filters, one row per product, limits."""
+
+import pytest
+from facetrank.functions.facets import facet_predicate
+from facetrank.plans.batch import accepted_requests, facet_search_batch, rejected_requests
+from facetrank.plans.reports import facet_envelopes
+from facetrank.plans.search import FACET_RESULT, facet_count, facet_search
+from facetrank.schema import CLOTHING, Filters
+
+
+def codes(df):
+    return [r["product_code"] for r in df.collect()]
+
+
+def test_no_filter_keeps_every_row(variants):
+    assert variants.filter(facet_predicate(Filters())).count() == 5
+
+
+def test_variants_are_one_result(variants):
+    rows = facet_search(variants, Filters()).collect()
+    assert [r["product_code"] for r in rows] == [100, 200, 300]
+    assert [r["variantes"] for r in rows] == [3, 1, 1]
+
+
+def test_columns_come_from_the_representative(variants):
+    row = facet_search(variants, Filters()).first()
+    assert (row["article_id"], row["perceived_colour_master_name"]) == (1, "Blue")
+    assert tuple(row.asDict()) == FACET_RESULT
+
+
+def test_representative_and_count_are_of_the_survivors(variants):
+    row = facet_search(variants, Filters(colores=("Red", "Black"), publico="Menswear")).first()
+    assert (row["article_id"], row["perceived_colour_master_name"], row["variantes"]) == (2, "Black", 2)
+
+
+@pytest.mark.parametrize("filters, expected", [
+    (Filters(publico="Baby/Children"), [300]),
+    (Filters(colores=("Red", "Black")), [100, 200]),
+    (Filters(colores_excluidos=("Red",)), [100, 300]),
+    (Filters(publico="Ladieswear", categoria="Garment Full body", colores=("Red",), tono="Light",
+             estampado="Stripe"), [200]),
+    (Filters(publico="Sport", colores=("Metal",)), []),
+    (Filters(colores=("Red",), colores_excluidos=("Red",)), []),
+])
+def test_filters(variants, filters, expected):
+    assert codes(facet_search(variants, filters)) == expected
+    assert facet_count(variants, filters).first()[0] == len(expected)
+
+
+def test_excluding_a_colour_drops_rows_without_colour(articles):
+    rows = articles(
+        {"article_id": 1, "product_code": 1, "perceived_colour_master_name": None},
+        {"article_id": 2, "product_code": 2},
+    )
+    assert codes(facet_search(rows, Filters(colores_excluidos=("Red",)))) == [2]
+    assert codes(facet_search(rows, Filters())) == [1, 2]
+
+
+def test_limit(variants):
+    assert codes(facet_search(variants, Filters(), limit=2)) == [100, 200]
+    for limit in (0, 101):
+        with pytest.raises(ValueError):
+            facet_search(variants, Filters(), limit=limit)
+
+
+def test_values_are_never_parsed_as_sql(variants):
+    assert codes(facet_search(variants, Filters(publico="x' OR '1'='1"))) == []
+
+
+def test_predicates_and_columns_reach_the_scan(spark, variants, plan_of, tmp_path):
+    variants.write.parquet(str(tmp_path / "catalog"))
+    stored = spark.read.parquet(str(tmp_path / "catalog"))
+    filters = Filters(publico="Menswear", colores_excluidos=("Red",))
+    plan = plan_of(facet_count(stored, filters))
+    assert "EqualTo(index_group_name,Menswear)" in plan
+    assert "Not(EqualTo(perceived_colour_master_name,Red))" in plan
+    assert "detail_desc" not in plan
+
+
+def test_batch_equals_single_requests(variants, requests):
+    asked = [
+        {}, {"publico": "Baby/Children"}, {"colores": ["Red", "Black"]}, {"colores_excluidos": ["Red"]},
+        {"publico": "Sport"}, {"colores": ["Red", "Blue"], "colores_excluidos": ["Blue"]}, {"limite": 2},
+        {"tono": "Light", "estampado": "Stripe"},
+    ]
+    got = facet_search_batch(variants, requests(*asked)).collect()
+    for i, fields in enumerate(asked, 1):
+        limit = fields.get("limite", 24)
+        single = facet_search(variants, Filters(**{k: v for k, v in fields.items() if k != "limite"}), limit)
+        rows = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+        assert [tuple(r)[2:] for r in rows] == [tuple(r) for r in single.collect()]
+
+
+def test_facet_envelope_has_no_semantic_text(variants, requests):
+    asked = requests({"publico": "Baby/Children"}, {"publico": "Sport"})
+    rows = {r["query_id"]: r for r in facet_envelopes(asked, facet_search_batch(variants, asked)).collect()}
+    assert (rows[1]["total"], rows[2]["total"], rows[2]["resultados"]) == (1, 0, [])
+    assert rows[1]["resultados"][0]["product_code"] == 300
+    assert "consulta_semantica" not in rows[1]["filtros_aplicados"].asDict()
+
+
+def test_values_outside_the_vocabulary_are_rejected(requests):
+    asked = requests(
+        {"publico": "Menswear"}, {"publico": "Perros"}, {"colores": ["Red", "Turquesa"], "tono": "Oscuro"},
+        {"limite": 500}, {"limite": 0}, {"limite": None}, {"colores_excluidos": ["Negro"]},
+    )
+    bad = {tuple(r) for r in rejected_requests(asked, CLOTHING).collect()}
+    assert bad == {
+        (2, "publico", "Perros"), (3, "colores", "Turquesa"), (3, "tono", "Oscuro"),
+        (4, "limite", "500"), (5, "limite", "0"), (7, "colores_excluidos", "Negro"),
+    }
+    assert {r["query_id"] for r in accepted_requests(asked, CLOTHING).collect()} == {1, 6}

