@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetrank.functions.vectors import checked_vector
 from facetrank.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, VECTOR_SCHEMA
@@ -86,7 +87,8 @@ def _tagged(df: DataFrame, dim: int, model_id: str) -> DataFrame:
 
 def read_vectors(spark: SparkSession, path: str, model_id: str) -> DataFrame:
     """The vectors of an index, which must all come from `model_id`: two models share no space."""
-    stored = spark.read.schema(VECTOR_SCHEMA.add("model_id", "string")).parquet(path)
+    tagged = T.StructType([*VECTOR_SCHEMA, T.StructField("model_id", T.StringType())])
+    stored = spark.read.schema(tagged).parquet(path)
     others = stored.filter(F.col("model_id") != model_id).select("model_id").head(1)
     if others:
         raise ValueError(f"the index holds vectors of {others[0][0]}, not of {model_id}")
