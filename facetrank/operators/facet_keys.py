@@ -9,7 +9,7 @@ key and no request is compared with articles that it does not match.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from facetrank.shared import write_once
 FACETS = [FACET_COLUMN[f] for f in RELAX_ORDER]
 
 _BIT = {f: 1 << i for i, f in enumerate(RELAX_ORDER)}
-_ALL_MASKS = range(1 << len(RELAX_ORDER))
+_MASKS = 1 << len(RELAX_ORDER)
 _SCALARS = [f for f in RELAX_ORDER if f != "colores"]
 _SCALAR_KEY = ["mask", *[f"key_{f}" for f in _SCALARS]]
 KEY = [*_SCALAR_KEY, "key_colores"]
@@ -35,10 +35,6 @@ def _key_part(name: str, value: Column) -> Column:
     return F.when(_has(name), value).otherwise(F.lit("")).alias(f"key_{name}")
 
 
-def same_or_both_null(left: DataFrame, right: DataFrame, columns) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
-
-
 def variant_groups(articles: DataFrame) -> DataFrame:
     """Articles of a product that agree in every facet: lowest article and their number.
 
@@ -56,7 +52,7 @@ def _keys_of_tuples(tuples: DataFrame, masks: DataFrame) -> DataFrame:
         add, [F.when(F.col(FACET_COLUMN[f]).isNull(), _BIT[f]).otherwise(0) for f in RELAX_ORDER]
     )
     return (
-        tuples.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in _ALL_MASKS])))
+        tuples.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(_MASKS - 1))))
         .filter(F.col("mask").bitwiseAND(null_bits) == 0)
         # There are 32 masks at most.
         .join(F.broadcast(masks), "mask", "left_semi")
@@ -78,7 +74,7 @@ def request_levels(requests: DataFrame, relax: bool = True) -> DataFrame:
     bits = [F.when(asked(f), _BIT[f]).otherwise(0) for f in _SCALARS]
     bits.append(F.when(asked("colores") | is_set("colores_excluidos"), _BIT["colores"]).otherwise(0))
     return (
-        requests.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(last + 1)])))
+        requests.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
         .withColumn("mask", reduce(add, bits))
         .select(
             "query_id",
@@ -132,14 +128,12 @@ def candidates(groups: DataFrame, asked: DataFrame) -> DataFrame:
 
     A variant group is repeated once per mask in use at most, never once per request.
     """
-    tuples = groups.select(*FACETS).distinct()
-    keyed = (
-        _keys_of_tuples(tuples, asked.select("mask").distinct())
-        .join(asked.select("key_id", *KEY), KEY)
-        .select("key_id", *FACETS)
-    )
+    tuples, masks = groups.select(*FACETS).distinct(), asked.select("mask").distinct()
+    keyed = _keys_of_tuples(tuples, masks).join(asked.select("key_id", *KEY), KEY)
+    keyed = keyed.select("key_id", *[F.col(c).alias(f"_{c}") for c in FACETS])
+    same_facets = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FACETS])
     return (
-        groups.join(keyed, same_or_both_null(groups, keyed, FACETS))
+        groups.join(keyed, same_facets)
         .groupBy("key_id", "product_code")
         .agg(F.min("article_id").alias("article_id"), F.sum("variantes").alias("variantes"))
     )

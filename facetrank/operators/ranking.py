@@ -56,7 +56,10 @@ def rank_candidates(
         .withColumn("row_cell", F.explode(_all_cells("row_cells")))
         .withColumn("request_cell", F.pmod(F.xxhash64("query_id"), F.col("request_cells")))
     )
-    cell = ["key_id", "row_cell", "request_cell"]
+    # New names keep the two sides apart: both got their key numbers from the same table.
+    cell = ["cell_key", "row_cell", "request_cell"]
+    products = products.withColumn("cell_key", F.col("key_id") + 0)
+    requests = requests.withColumn("cell_key", F.col("key_id") + 0)
     found = (
         products.select(*cell, "product_code", "article_id", "variantes", "embedding")
         .groupBy(*cell)
