@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Fixed value: requests per matrix product within a cell.
 _STRIP = 64
@@ -17,6 +18,9 @@ _RANKED_ARROW = pa.schema(
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
     vectors = table[name].combine_chunks()
+    lengths = pc.unique(pc.list_value_length(vectors))
+    if len(lengths) != 1 or not lengths[0].is_valid:
+        raise ValueError(f"vectors of different length in {name}")
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
@@ -30,7 +34,7 @@ def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
         return _RANKED_ARROW.empty_table()
     x, q = _matrix(products, "embedding"), _matrix(requests, "query_vec")
     if x.shape[1] != q.shape[1]:
-        raise ValueError(f"product vectors have length {x.shape[1]}, request vectors {q.shape[1]}")
+        raise ValueError(f"vectors of different length: {x.shape[1]} and {q.shape[1]}")
     codes = products["product_code"].to_numpy()
     limits = requests["limite"].to_numpy()
     norms = (x * x).sum(axis=1)
@@ -38,11 +42,12 @@ def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
     for start in range(0, len(q), _STRIP):
         strip = q[start:start + _STRIP]
         estimates = norms[:, None] - 2.0 * (x @ strip.T)
-        slack = 1e-9 * (norms.max() + (strip * strip).sum(axis=1).max())
+        slack = 1e-9 * (np.nanmax(norms) + np.nanmax((strip * strip).sum(axis=1)))
         for j, query in enumerate(strip):
             k = min(int(limits[start + j]), len(x))
             estimate = estimates[:, j]
-            near = np.flatnonzero(estimate <= np.partition(estimate, k - 1)[k - 1] + slack)
+            # Negated, so that a vector with NaN stays in and sorts last, as in Spark's order.
+            near = np.flatnonzero(~(estimate > np.partition(estimate, k - 1)[k - 1] + slack))
             exact = np.sqrt(((x[near] - query) ** 2).sum(axis=1))
             best = np.lexsort((codes[near], exact))[:k]
             rows.append(near[best])

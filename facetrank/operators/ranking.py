@@ -10,7 +10,7 @@ from facetrank.schema import MAX_LIMIT
 
 # Products and requests of one cell: bounds what a task holds in memory and computes at once.
 CELL_ROWS = 32_768
-CELL_REQUESTS = 4_096
+CELL_REQUESTS = 8_192
 
 def _cells(n: str, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(size))).cast("long")

@@ -10,18 +10,30 @@ from pyspark.sql import functions as F
 from facetrank.functions.facets import facet_predicate
 from facetrank.functions.vectors import l2_distance_to
 from facetrank.operators.products import count_products, one_per_product, with_article_columns
-from facetrank.schema import DEFAULT_LIMIT, RESULT_COLUMNS, Filters, check_limit
+from facetrank.schema import DEFAULT_LIMIT, MAX_LIMIT, RESULT_COLUMNS, Filters, check_limit
 
 FACET_RESULT = ("article_id", *RESULT_COLUMNS, "variantes")
 RANKED_RESULT = (*FACET_RESULT, "distancia")
 
 
+def _described(top: DataFrame, articles: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of one top-k with their descriptive columns, in order.
+
+    The top-k (at most `MAX_LIMIT` rows of numbers) is computed here and now, so that the scan of the
+    wide columns gets the article ids as literals and skips the row groups that hold none of them.
+    """
+    winners = top.collect()
+    small = top.sparkSession.createDataFrame(winners, top.schema)
+    wanted = articles.filter(F.col("article_id").isin([w["article_id"] for w in winners]))
+    rows = with_article_columns(small, wanted, small=True).select(*columns)
+    return rows.orderBy(*order).limit(MAX_LIMIT)
+
+
 def facet_search(catalog: DataFrame, filters: Filters, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Products that pass the filters, by product code. The semantic text plays no part."""
     survivors = catalog.filter(facet_predicate(filters))
     top = one_per_product(survivors).orderBy("product_code").limit(check_limit(limit))
-    rows = with_article_columns(top, survivors, small=True).select(*FACET_RESULT)
-    return rows.orderBy("product_code").limit(limit)
+    return _described(top, survivors, FACET_RESULT, ["product_code"])
 
 
 def facet_count(catalog: DataFrame, filters: Filters) -> DataFrame:
@@ -42,16 +54,10 @@ def hybrid_search(
     """
     survivors = catalog.filter(facet_predicate(filters))
     ranked = one_per_product(survivors).join(vectors, "product_code").select(
-        "product_code", "article_id", "variantes",
-        l2_distance_to("embedding", query_vec).alias("distancia"),
+        "product_code", "article_id", "variantes", l2_distance_to("embedding", query_vec).alias("distancia")
     )
     top = ranked.orderBy("distancia", "product_code").limit(check_limit(limit))
-    return (
-        with_article_columns(top, survivors, small=True)
-        .select(*RANKED_RESULT)
-        .orderBy("distancia", "product_code")
-        .limit(limit)
-    )
+    return _described(top, survivors, RANKED_RESULT, ["distancia", "product_code"])
 
 
 def nearest_products(
@@ -61,18 +67,13 @@ def nearest_products(
 
     The neighbours are picked from the vectors alone. One that has no article is not replaced.
     """
-    nearest = (
+    neighbours = (
         vectors.select("product_code", l2_distance_to("embedding", query_vec).alias("distancia"))
         .orderBy("distancia", "product_code")
         .limit(check_limit(limit))
     )
-    articles = catalog.join(F.broadcast(nearest), "product_code")
-    picked = articles.groupBy("product_code", "distancia").agg(
-        F.min("article_id").alias("article_id"), F.count("*").alias("variantes")
-    )
-    return (
-        with_article_columns(picked, catalog, small=True)
-        .select(*RANKED_RESULT)
-        .orderBy("distancia", "product_code")
-        .limit(limit)
-    )
+    found = neighbours.collect()
+    nearest = catalog.sparkSession.createDataFrame(found, neighbours.schema)
+    articles = catalog.filter(F.col("product_code").isin([n["product_code"] for n in found]))
+    picked = one_per_product(articles).join(F.broadcast(nearest), "product_code")
+    return _described(picked, articles, RANKED_RESULT, ["distancia", "product_code"])

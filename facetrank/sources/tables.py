@@ -42,19 +42,38 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOG_SCHEMA).parquet(path)
 
 
+def _with_key_blooms(writer, *keys: str):
+    """Bloom filters per row group, so a scan for given keys skips the row groups without them."""
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    return writer
+
+
 def write_catalog(df: DataFrame, path: str) -> None:
     """Write a new version of the catalog; an existing path is refused, so a failed write costs nothing.
 
     Rows are ranged by the two coarsest facets: their filters then skip whole files by statistics.
     The unique id as last sort key lets Spark split a facet value that holds much of the catalog.
     """
-    (
+    ranged = (
         check_catalog(df)
         .repartitionByRange("index_group_name", "product_group_name", "article_id")
         .sortWithinPartitions("index_group_name", "product_group_name", "article_id")
-        .write.mode("errorifexists")
-        .parquet(path)
     )
+    _with_key_blooms(ranged.write, "article_id", "product_code").mode("errorifexists").parquet(path)
+
+
+def save_catalog_table(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Save a new version of the catalog as a table bucketed by article.
+
+    For upserts and for batches whose results outgrow a broadcast: both join on the article key, and
+    the wide rows of a bucketed table stay where they are. Within a bucket, rows are sorted by facet.
+    """
+    writer = check_catalog(df).repartition(buckets, "article_id").write
+    writer = writer.bucketBy(buckets, "article_id").sortBy("index_group_name", "product_group_name")
+    writer = _with_key_blooms(writer, "article_id", "product_code").mode("errorifexists")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def check_vectors(df: DataFrame, dim: int) -> DataFrame:

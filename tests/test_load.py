@@ -141,6 +141,25 @@ def test_catalog_versions(spark, raw, tmp_path):
     assert store.read_catalog(spark, path).count() == 6
 
 
+def test_bucketed_catalog_is_joined_in_place(spark, raw, plan_of, tmp_path):
+    stored = store.save_catalog_table(raw, "catalog_bucketed", 4, str(tmp_path / "bucketed"))
+    assert sorted(r["article_id"] for r in stored.collect()) == [1, 2, 3, 4, 5, 6]
+    batch = raw.filter("article_id < 3").withColumn("seq", F.lit(1))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = load.upsert(stored, batch)
+        plan = plan_of(merged)
+        assert merged.count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Bucketed: true" in plan
+    # The only shuffles are those of the batch: its keys, and its rows to find the last ones.
+    assert plan.count("Exchange\n") == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        store.save_catalog_table(raw, "catalog_bucketed", 4)
+
+
 def test_repeated_keys(articles):
     rows = articles({"article_id": 1, "product_code": 1}, {"article_id": 1, "product_code": 2}, {"article_id": 3, "product_code": 2})
     assert [tuple(r) for r in store.repeated_keys(rows, "article_id").collect()] == [(1, 2)]

@@ -1,7 +1,9 @@
 """Vector ranking: single requests, tables of requests, cells, reports."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from facetrank.operators.cells import nearest_in_cell
 from facetrank.operators.facet_keys import KEY, candidates, number_keys, variant_groups
 from facetrank.operators.ranking import rank_candidates
 from facetrank.operators.relax import relaxed_keys
@@ -9,6 +11,8 @@ from facetrank.plans.batch import search_batch
 from facetrank.plans.reports import envelopes, filter_report
 from facetrank.plans.search import RANKED_RESULT, hybrid_search, nearest_products
 from facetrank.schema import VECTOR_SCHEMA, Filters
+from facetrank.sources import tables as store
+from pyspark.sql import functions as F
 
 AXES = {100: [1.0, 0.0, 0.0], 200: [0.0, 1.0, 0.0], 300: [0.0, 0.0, 1.0], 400: [0.6, 0.8, 0.0]}
 
@@ -60,13 +64,16 @@ def test_bad_query_vectors_fail(four, vectors):
             hybrid_search(four, vectors, Filters(), query)
 
 
-def test_single_search_plan(spark, four, vectors, plan_of, tmp_path):
-    four.write.parquet(str(tmp_path / "catalog"))
-    plan = plan_of(hybrid_search(spark.read.parquet(str(tmp_path / "catalog")), vectors, Filters(tono="Dark"), [1.0, 0.0, 0.0]))
-    assert "EqualTo(perceived_colour_value_name,Dark)" in plan
-    assert "TakeOrderedAndProject" in plan
-    # Texts are read once, for the winners, and not where candidates are collected.
-    assert sum("detail_desc" in line for line in plan.splitlines() if line.startswith("ReadSchema")) == 1
+def test_texts_are_scanned_for_the_winners_only(spark, four, vectors, plan_of, tmp_path):
+    store.write_catalog(four, str(tmp_path / "catalog"))
+    catalog = store.read_catalog(spark, str(tmp_path / "catalog"))
+    found = hybrid_search(catalog, vectors, Filters(tono="Light"), [1.0, 0.0, 0.0], limit=1)
+    plan = plan_of(found)
+    assert "EqualTo(perceived_colour_value_name,Light)" in plan and "EqualTo(article_id,200000)" in plan
+    assert codes(found) == [200]
+    plan = plan_of(nearest_products(catalog, vectors, [1.0, 0.0, 0.0], limit=2))
+    assert "In(product_code, [100,400])" in plan and "In(article_id, [100000,400000])" in plan
+    assert codes(hybrid_search(catalog, vectors, Filters(publico="Sport"), [1.0, 0.0, 0.0])) == []
 
 
 def test_nearest_products_count_all_variants(articles, vectors):
@@ -80,6 +87,30 @@ def test_nearest_products_count_all_variants(articles, vectors):
     assert rows[0]["distancia"] == pytest.approx(0.0, abs=1e-6)
 
 
+def test_vectors_of_different_length_fail_the_batch(spark, four, vectors, requests):
+    longer = vectors.union(spark.createDataFrame([(500, [1.0] * 4)], VECTOR_SCHEMA))
+    mixed = longer.withColumn("product_code", F.when(F.col("product_code") == 500, 100).otherwise(F.col("product_code")))
+    for table, query in ((vectors, [1.0, 0.0]), (mixed, [1.0, 0.0, 0.0])):
+        with pytest.raises(Exception, match="vectors of different length"):
+            search_batch(four, table, requests({"query_vec": query})).results.collect()
+
+
+def test_cell_with_nan_duplicates_and_ties():
+    x = np.array([[1.0, 0.0], [np.nan, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0]], dtype=np.float32)
+    products = pa.table({
+        "product_code": [5, 1, 4, 2, 3], "article_id": [50, 10, 40, 20, 30], "variantes": [1, 1, 1, 1, 1],
+        "embedding": pa.array(x.tolist(), pa.list_(pa.float32())),
+    })
+    asked = pa.table({
+        "query_id": [7, 8], "limite": pa.array([3, 100], pa.int32()),
+        "query_vec": pa.array([[1.0, 0.0], [0.0, 1.0]], pa.list_(pa.float32())),
+    })
+    found = nearest_in_cell(products, asked).to_pandas()
+    assert found[found.query_id == 7].product_code.tolist() == [2, 5, 3]
+    assert found[found.query_id == 8].product_code.tolist() == [3, 4, 2, 5, 1]
+    assert nearest_in_cell(products.slice(0, 0), asked).num_rows == 0
+
+
 def test_batch_equals_single_requests(four, vectors, requests):
     asked = [
         {}, {"publico": "Ladieswear"}, {"colores": ["Blue", "White"], "limite": 2}, {"colores_excluidos": ["Red"]},
@@ -105,7 +136,7 @@ def test_limit_out_of_bounds_fails_the_batch(four, vectors, requests):
         search_batch(four, vectors, requests({"query_vec": [1.0, 0.0, 0.0], "limite": 101})).results.collect()
 
 
-@pytest.mark.parametrize("cell_rows, cell_requests", [(32_768, 4_096), (7, 3), (1, 1)])
+@pytest.mark.parametrize("cell_rows, cell_requests", [(32_768, 8_192), (7, 3), (1, 1)])
 def test_any_cell_size_gives_the_exact_answer(spark, articles, requests, cell_rows, cell_requests):
     """Duplicate vectors, a product with most of the articles, and requests that share one key."""
     rng = np.random.default_rng(5)
