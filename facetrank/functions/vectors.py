@@ -5,13 +5,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetrank.functions.arrays import distances, matrix
+
 # Floors that keep empty masks and zero vectors from dividing by zero.
 MIN_MASK_SUM = 1e-9
 MIN_NORM = 1e-12
 
+# Dimensions up to which a distance is written out term by term; measured at 64 and 384.
+MAX_UNROLLED = 64
+
 
 def _sum(col: Column) -> Column:
     return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x)
@@ -38,21 +45,36 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def l2_distance_to(vec: str, query: Sequence[float]) -> Column:
-    """Distance of a vector column to a fixed vector, one arithmetic term per dimension.
+    """Distance of a vector column to a fixed vector.
 
-    Plain arithmetic stays inside generated code; the lambda form of `l2_distance` is interpreted
-    per element. One parsed expression is far quicker to build than a tree of column objects.
+    Short vectors: one arithmetic term per dimension, in generated code. Beyond `MAX_UNROLLED` terms
+    the generated method is too large for the JVM to compile, and Arrow batches are several times faster
+    than that and than the lambda form of `l2_distance`.
     """
     values = [float(x) for x in query]
     if not values or not all(map(math.isfinite, values)):
         raise ValueError("a query vector needs finite numbers")
-    terms = [f"power(CAST({vec}[{i}] AS DOUBLE) - {x!r}D, 2)" for i, x in enumerate(values)]
-    # Adding pairwise keeps the expression tree shallow for vectors of many dimensions.
+    if len(values) > MAX_UNROLLED:
+        return _arrow_distance(values)(vec)
+    diffs = [f"(CAST({vec}[{i}] AS DOUBLE) - {x!r}D)" for i, x in enumerate(values)]
+    # A product of the difference with itself: `power` is several times slower.
+    terms = [f"{d} * {d}" for d in diffs]
+    # Adding pairwise keeps the expression tree shallow.
     while len(terms) > 1:
         terms = ["(" + " + ".join(terms[i:i + 2]) + ")" for i in range(0, len(terms), 2)]
-    return F.when(F.size(vec) == len(values), F.expr(f"sqrt({terms[0]})")).otherwise(
-        F.raise_error(F.lit("vectors of different length"))
-    )
+    # The length check is one more term: around the sum it would keep the JVM from compiling it.
+    guard = f"if(size({vec}) = {len(values)}, 0D, raise_error('vectors of different length'))"
+    return F.expr(f"sqrt({guard} + {terms[0]})")
+
+
+def _arrow_distance(query: list[float]):
+    @F.arrow_udf("double")
+    def distance(vectors: pa.Array) -> pa.Array:
+        if len(vectors) == 0:
+            return pa.array([], pa.float64())
+        return pa.array(distances(matrix(vectors), np.asarray(query)))
+
+    return distance
 
 
 def checked_vector(vec: Column, dim: int) -> Column:

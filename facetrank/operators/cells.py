@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from facetrank.functions.arrays import distances, matrix
 
 # Fixed value: requests per matrix product within a cell.
 _STRIP = 64
@@ -16,14 +17,6 @@ _RANKED_ARROW = pa.schema(
 )
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
-    vectors = table[name].combine_chunks()
-    lengths = pc.unique(pc.list_value_length(vectors))
-    if len(lengths) != 1 or not lengths[0].is_valid:
-        raise ValueError(f"vectors of different length in {name}")
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-
-
 def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
     """The nearest products of one cell for each of its requests, at most `limite` rows each.
 
@@ -32,13 +25,14 @@ def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
     """
     if products.num_rows == 0 or requests.num_rows == 0:
         return _RANKED_ARROW.empty_table()
-    x, q = _matrix(products, "embedding"), _matrix(requests, "query_vec")
+    x = matrix(products["embedding"].combine_chunks())
+    q = matrix(requests["query_vec"].combine_chunks())
     if x.shape[1] != q.shape[1]:
         raise ValueError(f"vectors of different length: {x.shape[1]} and {q.shape[1]}")
     codes = products["product_code"].to_numpy()
     limits = requests["limite"].to_numpy()
     norms = (x * x).sum(axis=1)
-    rows, ids, distances = [], [], []
+    rows, ids, measured = [], [], []
     for start in range(0, len(q), _STRIP):
         strip = q[start:start + _STRIP]
         estimates = norms[:, None] - 2.0 * (x @ strip.T)
@@ -48,10 +42,10 @@ def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
             estimate = estimates[:, j]
             # Negated, so that a vector with NaN stays in and sorts last, as in Spark's order.
             near = np.flatnonzero(~(estimate > np.partition(estimate, k - 1)[k - 1] + slack))
-            exact = np.sqrt(((x[near] - query) ** 2).sum(axis=1))
+            exact = distances(x[near], query)
             best = np.lexsort((codes[near], exact))[:k]
             rows.append(near[best])
-            distances.append(exact[best])
+            measured.append(exact[best])
             ids.append(np.full(len(best), start + j))
     row = np.concatenate(rows)
     return pa.table(
@@ -60,7 +54,7 @@ def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
             "product_code": products["product_code"].take(pa.array(row)),
             "article_id": products["article_id"].take(pa.array(row)),
             "variantes": products["variantes"].take(pa.array(row)),
-            "distancia": np.concatenate(distances),
+            "distancia": np.concatenate(measured),
         },
         schema=_RANKED_ARROW,
     )

@@ -29,10 +29,23 @@ def test_normalize_and_distance(spark):
     assert np.allclose([r["d0"] for r in got], np.linalg.norm(a - b[0], axis=1), atol=1e-12)
 
 
+@pytest.mark.parametrize("dim", [1, 3, 64, 65, 384])
+def test_distance_to_a_fixed_vector(spark, dim):
+    rng = np.random.default_rng(dim)
+    a, q = rng.normal(size=(50, dim)).astype(np.float32), rng.normal(size=dim)
+    df = spark.createDataFrame([(i, a[i].tolist()) for i in range(50)], "i int, a array<float>")
+    got = [r["d"] for r in df.select("i", vec.l2_distance_to("a", q).alias("d")).orderBy("i").collect()]
+    assert np.allclose(got, np.linalg.norm(a.astype(float) - q, axis=1), rtol=1e-12)
+    assert df.limit(0).select(vec.l2_distance_to("a", q)).collect() == []
+
+
 def test_distance_of_different_lengths_fails(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.0])], "a array<float>, b array<float>")
-    for distance in (vec.l2_distance(F.col("a"), F.col("b")), vec.l2_distance_to("a", [1.0])):
-        with pytest.raises(Exception, match="different length"):
+    for distance in (
+        vec.l2_distance(F.col("a"), F.col("b")), vec.l2_distance_to("a", [1.0]), vec.l2_distance_to("a", [1.0] * 3),
+        vec.l2_distance_to("a", [1.0] * 70),
+    ):
+        with pytest.raises(Exception, match="different length|INVALID_ARRAY_INDEX"):
             df.select(distance).collect()
 
 
