@@ -62,7 +62,7 @@ def build_index(catalog: DataFrame, path: str, encoder) -> IndexReport:
 def extend_index(catalog: DataFrame, path: str, encoder) -> IndexReport:
     """Add the vectors of products that have none. Running it again adds nothing.
 
-    An interrupted run leaves no part of its vectors behind and can simply be repeated.
+    An interrupted run can simply be repeated: products that got their vector are skipped.
     """
     stored = read_vectors(catalog.sparkSession, path, encoder.model_id)
     return _write(embed_products(catalog, stored, encoder), path, encoder.model_id, "append")
