@@ -33,6 +33,6 @@ def join_hot(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Colu
     Rows of `big` are dealt over SALTS parts of their key by the number `spread`; `small` is repeated
     for each part. The result is that of the plain join.
     """
-    dealt = big.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    dealt = big.withColumn("__salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
+    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")

@@ -10,7 +10,7 @@ partners add up. Documents are ordered by doc_id, then by a hash of their text.
 Of each passage the first holder keeps its lines. Null texts stay null and have no lines; rows that repeat doc_id and
 text are one document, which is not deleted from itself; rows that repeat only doc_id are different documents. A
 null doc_id comes first. Columns are kept whatever their names, except that `text` is cut and `n_lines`,
-`n_dropped` and `dropped` (line numbers from 0) are replaced. An empty table stays empty.
+`n_dropped` and `dropped` (line numbers from 0) are replaced and that names may not begin with two underscores. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -164,14 +164,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = write_once(document_lines(docs).dropDuplicates(["doc"]), "document-lines")
     pairs = write_once(overlapping(lines), "overlapping-documents")
     found = write_once(dropped_lines(lines, pairs, min_words), "dropped-lines")
-    rows = docs.drop("n_lines", "n_dropped", "dropped").withColumn("_doc", _doc())
-    joined = rows.join(found.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    rows = docs.drop("n_lines", "n_dropped", "dropped").withColumn("__doc", _doc())
+    found = found.select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"), F.col("kept_runs").alias("__runs"))
+    joined = rows.join(found.hint("merge"), "__doc", "left")  # one plan for any size
     split = F.split("text", "\n", -1)
-    rest = F.flatten(F.transform("kept_runs", lambda r: F.slice(split, r["at"] + 1, r["n"])))
-    cut = F.when(F.col("kept_runs").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    rest = F.flatten(F.transform("__runs", lambda r: F.slice(split, r["at"] + 1, r["n"])))
+    cut = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     return joined.select(
-        *[(cut if c == "text" else F.col(c)).alias(c) for c in rows.columns if c != "_doc"],
+        *[(cut if c == "text" else F.col(c)).alias(c) for c in rows.columns if c != "__doc"],
         F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"),
-        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+        F.coalesce(F.size("__dropped"), F.lit(0)).alias("n_dropped"),
+        F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped"),
     )

@@ -7,7 +7,8 @@ doc_id and text; the copies are then shuffled globally by a hash. Only DataFrame
 
 Null sources are a source of their own. The amount of a document is the length of its text and 1 at least (null:
 1). Rows that repeat doc_id and text draw the same number each; a null doc_id is hashed as an empty string. Columns
-are kept whatever their names, except that `copy` and `shuffle_key` are replaced by the new ones. An empty table
+are kept whatever their names, except that `copy` and `shuffle_key` are replaced by the new ones and that
+names may not begin with two underscores. An empty table
 stays empty.
 """
 
@@ -27,14 +28,14 @@ _DIGITS = 12
 
 
 def source_rates(docs: DataFrame, source: str, temperature: float, epochs: float) -> DataFrame:
-    """_source, rate: one row for each source, null as well."""
+    """__source, rate: one row for each source, null as well."""
     size = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
-    amounts = docs.groupBy(F.col(source).alias("_source")).agg(F.sum(size).cast("double").alias("_amount"))
+    amounts = docs.groupBy(F.col(source).alias("__source")).agg(F.sum(size).cast("double").alias("_amount"))
     wanted = F.pow("_amount", F.lit(float(temperature)))
     everything = Window.partitionBy()
     share = wanted / F.sum(wanted).over(everything)
     target = share * F.sum("_amount").over(everything) * F.lit(float(epochs))
-    return amounts.select("_source", (target / F.col("_amount")).alias("rate"))
+    return amounts.select("__source", (target / F.col("_amount")).alias("rate"))
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -61,20 +62,20 @@ def mix(docs: DataFrame, source: str = "source", temperature: float = 0.7, epoch
         seed: str = "mix") -> DataFrame:
     """All columns of each copy, with `copy` (from 0) and `shuffle_key`; rows come in the order of the shuffle."""
     rates = source_rates(docs, source, temperature, epochs)
-    tables = write_once(rates.withColumn("_cdf", poisson_cdf(F.col("rate"))).drop("rate"), "source-rates")
+    tables = write_once(rates.withColumn("__cdf", poisson_cdf(F.col("rate"))).drop("rate"), "source-rates")
     doc_id, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
     drawn = uniform(F.lit(seed), doc_id, F.md5(text))
     if tables.count() <= SENT_SOURCES:
         big, small, salted = docs, F.broadcast(tables), F.lit(True)
     else:
-        big = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-        small = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = F.col("_part") == F.col("_salt")
-    joined = big.join(small, F.col(source).eqNullSafe(F.col("_source")) & salted)
-    copies = F.size(F.filter("_cdf", lambda below: below <= drawn))
+        big = docs.withColumn("__part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        small = tables.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = F.col("__part") == F.col("__salt")
+    joined = big.join(small, F.col(source).eqNullSafe(F.col("__source")) & salted)
+    copies = F.size(F.filter("__cdf", lambda below: below <= drawn))
     out = joined.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1))))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc_id, F.md5(text), F.col("copy").cast("string")))
-    out = out.drop("_source", "_cdf", "_part", "_salt").withColumn("shuffle_key", key)
+    out = out.drop("__source", "__cdf", "__part", "__salt").withColumn("shuffle_key", key)
     return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
