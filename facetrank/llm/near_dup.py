@@ -8,11 +8,14 @@ distance of at most GUARANTEED agree in some chunk up to one place; so each chun
 once for each place left out. All pairs under that distance meet under some key, and so do nearly all beyond it that
 matter: at a similarity of 0.8 a pair misses all keys with a chance of 2e-6.
 
-Pairs that meet are confirmed on full sets (64-bit hashes of whole shingles). In a first round each document is
-compared with the partner, among the smallest documents under its keys, with which it shares most keys; that joins
-most copies without forming all pairs of a group. In a second round all pairs under a key whose documents are
-still in different components are compared, unless sizes or signatures rule them out: at a similarity of 0.8 more
-than FARTHEST places differ with a chance below 1e-9. Nothing is capped.
+Links are confirmed on full sets (64-bit hashes of whole shingles). In a first round each document is compared with the
+partner, among the smallest documents under its keys, with which it shares most keys; that joins most copies without
+forming all pairs of a group. The documents under a key belong to one cluster, through the smallest of them, unless
+more than FARTHEST places differ from it (at a similarity of 0.8 to a third document that is close to neither, all of
+some twenty shared keys would have to lie in the rest). Clusters that the first round left in several components
+are cut into blocks; each pair of blocks is a cell of at most BLOCK * BLOCK documents, which compares whole sets and
+returns no more links than join its components. So a group of documents that are alike, but not enough, costs
+arithmetic, not rows. Nothing is capped.
 
 Documents without words are linked with nothing. Rows that share a doc_id are one document. Rows with a null doc_id
 take no part: component_id is null and they are kept. Other columns are not read.
@@ -20,6 +23,7 @@ take no part: component_id is null and they are kept. Other columns are not read
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
@@ -37,7 +41,11 @@ CHUNKS = 10
 WIDTH = 5
 PLACES = CHUNKS * WIDTH
 GUARANTEED = 2 * CHUNKS - 1
-FARTHEST = 28
+FARTHEST = 40
+#: Documents of a block.
+BLOCK = 2048
+#: Shingles that a cell handles at once.
+_COLUMNS = 4096
 _LONGS = -(-PLACES // 8)
 
 #: Hashes of words that a worker remembers.
@@ -162,16 +170,20 @@ def distance(a: Column, b: Column) -> Column:
     return reduce(add, [differing(i) for i in range(_LONGS)])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (v, u) with 100 * intersection >= percent * union of their full sets."""
-    wanted = pairs.select(F.col("v").alias("node")).unionByName(pairs.select(F.col("u").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, found: the sets of some documents, sorted 64-bit hashes. One plan for any number of them."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    texts = texts.join(nodes.hint("merge"), "node", "left_semi")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, size).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "found"])
 
-    full = write_once(map_batches(texts, sets, "node long, found binary"), "shingle-sets")
+    return write_once(map_batches(texts, run, "node long, found binary"), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (v, u) with 100 * intersection >= percent * union of their sets in `full`."""
     both = pairs.join(full.select(F.col("node").alias("u"), F.col("found").alias("_b")), "u")
     both = both.join(full.select(F.col("node").alias("v"), F.col("found").alias("_a")), "v").select("v", "u", "_a", "_b")
 
@@ -186,47 +198,124 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return map_batches(both, compare, "v long, u long")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists."""
+    sizes = [len(x) for x in left + right]
+    _, column, held = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    used = held > 1
+    column, row = (np.cumsum(used) - 1)[column[used[column]]], row[used[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(used.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        part = np.zeros((len(sizes), min(_COLUMNS, int(used.sum()) - first)), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def joining_links(nodes: list[int], components: list[int], blocks: list[bool], sets: list[np.ndarray],
+                  percent: int) -> list[tuple[int, int]]:
+    """Links between the first and the second block (given by False and True; one block: all pairs in it), as many as
+    join the components that they reach."""
+    own = np.array(components)
+    first, second = ([i for i, x in enumerate(blocks) if x == side] for side in (False, True))
+    if not second:
+        commonest = max(set(components), key=components.count)
+        first, second = [i for i in first if own[i] != commonest], first
+    if not first or not second:
+        return []
+    common = common_counts([sets[i] for i in first], [sets[i] for i in second])
+    n = np.array([len(x) for x in sets])
+    union = n[first][:, None] + n[second][None, :] - common
+    near = (100 * common >= percent * union) & (own[first][:, None] != own[second][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(near)):
+        a, b = find(int(own[first[i]])), find(int(own[second[j]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((nodes[first[i]], nodes[second[j]]))
+    return links
+
+
+def _links_in_clusters(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """v, u of links that join components; members: node, component, cluster."""
+    counts = members.groupBy("cluster").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+        F.min("component").alias("_a"), F.max("component").alias("_b"),
+    ).filter("_a < _b").select("cluster", "blocks")
+    members = join_hot(members, counts, ["cluster"], F.xxhash64("node"))
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = members.withColumn("block", block).withColumn("other", other).select(
+        "node", "component", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).alias("second"),
+    )
+    rows = cells.join(full, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(cell: list[tuple]) -> pa.RecordBatch:
+            nodes, components, second, sets = ([r[c] for r in cell] for c in (0, 1, 2, 3))
+            found = joining_links(nodes, components, second, sets, percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v for v, _ in found], pa.int64()), pa.array([u for _, u in found], pa.int64())], ["v", "u"])
+
+        cell, key = [], None
+        for batch in batches:
+            columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            for k in range(len(batch)):
+                here = (columns["cluster"][k], columns["i"][k], columns["j"][k])
+                if here != key and cell:
+                    yield links(cell)
+                    cell = []
+                key = here
+                cell.append((columns["node"][k], columns["component"][k], columns["second"][k],
+                             np.frombuffer(columns["found"][k], "<u8")))
+        if cell:
+            yield links(cell)
+
+    return rows.mapInArrow(run, "v long, u long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached over links), kept: one row for each row."""
     rows = write_once(signed(docs, size), "signatures")
     sets = rows.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     sets = sets.groupBy("set_hash").agg(
-        F.min("doc_id").alias("node"), F.max("doc_id").alias("_last"), F.first("n_shingles").alias("n"),
-        F.first("signature").alias("signature"),
-    )
+        F.min("doc_id").alias("node"), F.max("doc_id").alias("_last"), F.first("signature").alias("signature"))
     sets = write_once(sets, "distinct-sets")
     # Only keys under which two documents meet are of use; few are.
     entries = write_once(_entries(sets), "index")
     met = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("_most"))
     met = met.filter("least < _most").select("key", "least")
-    shared = write_once(entries.join(met, "key"), "shared-keys")
-
+    shared = join_hot(entries, met, ["key"], F.xxhash64("node"))
     stars = shared.filter("node <> least").groupBy(F.col("node").alias("v"), F.col("least").alias("u")).agg(
         F.count(F.lit(1)).alias("n_keys"))
+    stars = write_once(stars, "stars")
+    nodes = stars.select(F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("node"))).distinct()
+    full = shingle_sets(docs, nodes, size)
+
     best = stars.groupBy("v").agg(F.max(F.struct("n_keys", (-F.col("u")).alias("u"))).alias("best"))
     first = write_once(best.select("v", (-F.col("best.u")).alias("u")), "first-pairs")
-    links = write_once(confirmed(first, docs, size, percent), "links")
+    links = write_once(confirmed(first, full, percent), "links")
     components = write_once(connected_components(links), "components")
 
-    placed = join_hot(shared, components, ["node"], F.col("key"), "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    open_keys = open_keys.filter("_a < _b").select("key")
-    narrow = sets.select("node", "n", "signature")
-    placed = write_once(placed.join(open_keys, "key", "left_semi").select("key", "node", "component"), "open-keys")
-    mine = placed.join(narrow, "node")
-    left = mine.select("key", *[F.col(c).alias(f"{c}_v") for c in ("node", "component", "n", "signature")])
-    right = mine.select("key", *[F.col(c).alias(f"{c}_u") for c in ("node", "component", "n", "signature")])
-    near = (
-        (F.col("node_v") > F.col("node_u")) & (F.col("component_v") != F.col("component_u"))
-        & (100 * F.col("n_v") >= percent * F.col("n_u")) & (100 * F.col("n_u") >= percent * F.col("n_v"))
-        & (distance(F.col("signature_v"), F.col("signature_u")) <= FARTHEST)
-    )
-    second = left.join(right, (left["key"] == right["key"]) & near)
-    second = second.select(F.col("node_v").alias("v"), F.col("node_u").alias("u")).distinct()
-    second = write_once(second.join(first, ["v", "u"], "left_anti"), "second-pairs")
-    # Documents with several sets hold together by their doc_id alone.
-    links = links.unionByName(confirmed(second, docs, size, percent))
+    mine, other = sets.select(F.col("node").alias("v"), "signature"), sets.select(
+        F.col("node").alias("u"), F.col("signature").alias("other"))
+    apart = distance(F.col("signature"), F.col("other"))
+    close = stars.select("v", "u").join(mine, "v").join(other, "u").filter(apart <= FARTHEST).select("v", "u")
+    clusters = connected_components(close).withColumnRenamed("component", "cluster")
+    members = clusters.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = links.unionByName(_links_in_clusters(write_once(members, "clusters"), full, percent))
     components = write_once(connected_components(links), "components")
 
     several = sets.filter(F.col("node") < F.col("_last")).select("set_hash", "node")
