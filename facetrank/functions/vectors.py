@@ -16,9 +16,6 @@ from facetrank.functions.arrays import distances, matrix
 MIN_MASK_SUM = 1e-9
 MIN_NORM = 1e-12
 
-# Dimensions up to which a distance is written out term by term; measured at 64 and 384.
-MAX_UNROLLED = 64
-
 
 def _sum(col: Column) -> Column:
     return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x)
@@ -47,24 +44,13 @@ def l2_distance(a: Column, b: Column) -> Column:
 def l2_distance_to(vec: str, query: Sequence[float]) -> Column:
     """Distance of a vector column to a fixed vector.
 
-    Short vectors: one arithmetic term per dimension, in generated code. Beyond `MAX_UNROLLED` terms
-    the generated method is too large for the JVM to compile, and Arrow batches are two to five times faster
-    than that and than the lambda form of `l2_distance`.
+    The arithmetic is that of the batch ranking, in Arrow batches and for every dimension, so one request and the same
+    request in a table give equal bits and one order.
     """
     values = [float(x) for x in query]
     if not values or not all(map(math.isfinite, values)):
         raise ValueError("a query vector needs finite numbers")
-    if len(values) > MAX_UNROLLED:
-        return _arrow_distance(values)(vec)
-    diffs = [f"(CAST({vec}[{i}] AS DOUBLE) - {x!r}D)" for i, x in enumerate(values)]
-    # A product of the difference with itself: `power` is several times slower.
-    terms = [f"{d} * {d}" for d in diffs]
-    # Adding pairwise keeps the expression tree shallow.
-    while len(terms) > 1:
-        terms = ["(" + " + ".join(terms[i:i + 2]) + ")" for i in range(0, len(terms), 2)]
-    # The length check is one more term: around the sum it would keep the JVM from compiling it.
-    guard = f"if(size({vec}) = {len(values)}, 0D, raise_error('vectors of different length'))"
-    return F.expr(f"sqrt({guard} + {terms[0]})")
+    return _arrow_distance(values)(vec)
 
 
 def _arrow_distance(query: list[float]):

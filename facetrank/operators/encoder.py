@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +22,16 @@ BATCH_SIZE = 64
 class HashedEncoder:
     """Lexical encoder made of Spark ML stages: hashed word counts, weighted by rarity, unit length.
 
-    Index and requests must go through the same fitted encoder; fitting again means a new index.
+    Index and requests must go through the same fitted encoder; `model_id` is made from its name, dimension and weights.
     """
 
-    def __init__(self, model: PipelineModel, model_id: str, dim: int):
+    def __init__(self, model: PipelineModel, name: str):
         self.model = model
-        self.model_id = model_id
-        self.dim = dim
+        self.name = name
+        self.dim = model.stages[1].getNumFeatures()
+        # Fits on other texts weigh words otherwise: their vectors must not meet.
+        weights = np.asarray(model.stages[2].idf.toArray(), "<f8").tobytes()
+        self.model_id = f"{name}-{self.dim}-{hashlib.sha256(weights).hexdigest()[:16]}"
 
     @classmethod
     def fit(cls, texts: DataFrame, column: str, dim: int, model_id: str = "hashed") -> HashedEncoder:
@@ -37,16 +41,17 @@ class HashedEncoder:
             IDF(inputCol="_counts", outputCol="_weighted"),
             Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0),
         ]
-        return cls(Pipeline(stages=stages).fit(_prepared(texts, column)), f"{model_id}-{dim}", dim)
+        return cls(Pipeline(stages=stages).fit(_prepared(texts, column)), model_id)
 
     def save(self, path: str) -> None:
         self.model.write().save(path)
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.name,)], "name string").coalesce(1).write.text(f"{path.rstrip('/')}/name")
 
     @classmethod
-    def load(cls, path: str, model_id: str = "hashed") -> HashedEncoder:
-        model = PipelineModel.load(path)
-        dim = model.stages[1].getNumFeatures()
-        return cls(model, f"{model_id}-{dim}", dim)
+    def load(cls, path: str) -> HashedEncoder:
+        name = SparkSession.active().read.text(f"{path.rstrip('/')}/name").first()[0]
+        return cls(PipelineModel.load(path), name)
 
     def __call__(self, texts: DataFrame, column: str, output: str = "embedding") -> DataFrame:
         encoded = self.model.transform(_prepared(texts, column))

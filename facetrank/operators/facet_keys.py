@@ -97,9 +97,9 @@ def matching_keys(levels: DataFrame, groups: DataFrame) -> DataFrame:
     masks = levels.select("mask").distinct()
     existing = _keys_of_tuples(tuples, masks).groupBy(*KEY).agg(F.sum("n").alias("n"))
     colour = F.col("key_colores")
-    colour_fits = ~_has("colores") | (
-        F.coalesce(F.array_contains("wanted", colour), F.lit(True)) & ~F.array_contains("unwanted", colour)
-    )
+    # As in SQL, a null in a list is no match for IN, and NOT IN a list with a null is never true.
+    asked = F.col("wanted").isNull() | F.coalesce(F.array_contains("wanted", colour), F.lit(False))
+    colour_fits = ~_has("colores") | (asked & F.coalesce(~F.array_contains("unwanted", colour), F.lit(False)))
     return levels.join(existing, _SCALAR_KEY).filter(colour_fits).select("query_id", "level", *KEY, "n")
 
 

@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 MAX_FACET_VALUES = 60
 SAMPLE_ROWS = 3
 
-# Longer values are compared by digest, so that counting distinct texts does not shuffle the texts.
-_DIGEST_ABOVE = 64
-
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -29,9 +26,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     Values are grouped first and counted second: both shuffles are pre-combined on the map side,
     and a value that fills a third of the table arrives as one row per map task.
     """
-    key = F.when(
-        F.octet_length("valor") > _DIGEST_ABOVE, F.concat(F.lit("#"), F.sha2(F.col("valor"), 256))
-    ).otherwise(F.concat(F.lit("="), F.col("valor")))
+    key = F.sha2("valor", 256)  # values are compared by digest, so that long texts are not shuffled
     per_value = (
         _long_form(df, string_columns(df))
         .select("columna", key.alias("valor"))

@@ -21,6 +21,7 @@ from facetrank.operators.relax import apply_relaxation, relaxed_keys
 from facetrank.plans.search import FACET_RESULT, RANKED_RESULT
 from facetrank.schema import DEFAULT_LIMIT, MAX_LIMIT, Vocabulary
 from facetrank.shared import write_once
+from facetrank.sources.tables import refuse_repeated
 
 
 def rejected_requests(requests: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -48,6 +49,18 @@ def _with_limit(requests: DataFrame) -> DataFrame:
     return requests.withColumn("limite", F.when(limit.between(1, MAX_LIMIT), limit).otherwise(refused))
 
 
+def _checked(requests: DataFrame, with_vectors: bool) -> DataFrame:
+    """The requests, computed and written once; limits, repeated ids and bad vectors are refused here and now."""
+    requests = write_once(_with_limit(requests), "requests")
+    refuse_repeated(requests, "query_id")
+    if with_vectors:
+        infinite = F.exists("query_vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        bad = requests.filter(F.col("query_vec").isNull() | (F.size("query_vec") == 0) | infinite).head(1)
+        if bad:
+            raise ValueError(f"request {bad[0]['query_id']} has no query_vec of finite numbers")
+    return requests
+
+
 @dataclass(frozen=True)
 class Answers:
     """`requests` with what was relaxed and applied, and `results` with the ranked rows."""
@@ -62,9 +75,10 @@ def search_batch(
     """Relax, filter, collapse and rank every request of the table.
 
     `groups` is `variant_groups(catalog)` if it is stored already. The catalog's facet columns are
-    read once, its wide columns only for the winners.
+    read once, its wide columns only for the winners. A repeated query_id, a limit out of bounds and a query_vec that is
+    null, empty or not finite are errors.
     """
-    requests = _with_limit(requests)
+    requests = _checked(requests, with_vectors=True)
     if groups is None:
         groups = write_once(variant_groups(catalog), "groups")
     matches = write_once(relaxed_keys(requests, groups), "matches")
@@ -84,9 +98,9 @@ def facet_search_batch(
     """`facet_search` for a table of requests: (query_id, rank, ...) by product code.
 
     Requests with the same facet key share its first products, so each key is cut to `MAX_LIMIT` rows
-    before it meets its requests. Nothing is relaxed.
+    before it meets its requests. Nothing is relaxed. A repeated query_id and a limit out of bounds are errors.
     """
-    requests = _with_limit(requests)
+    requests = _checked(requests, with_vectors=False)
     if groups is None:
         groups = write_once(variant_groups(catalog), "groups")
     matches = write_once(matching_keys(request_levels(requests, relax=False), groups), "matches")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from facetrank.functions.facets import facet_predicate
 from facetrank.functions.vectors import l2_distance_to
 from facetrank.operators.products import count_products, one_per_product, with_article_columns
-from facetrank.schema import DEFAULT_LIMIT, MAX_LIMIT, RESULT_COLUMNS, Filters, check_limit
+from facetrank.schema import DEFAULT_LIMIT, RESULT_COLUMNS, Filters, check_limit
 
 FACET_RESULT = ("article_id", *RESULT_COLUMNS, "variantes")
 RANKED_RESULT = (*FACET_RESULT, "distancia")
@@ -19,14 +19,14 @@ RANKED_RESULT = (*FACET_RESULT, "distancia")
 def _described(top: DataFrame, articles: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows of one top-k with their descriptive columns, in order.
 
-    The top-k (at most `MAX_LIMIT` rows of numbers) is computed here and now, so that the scan of the
+    The top-k (rows of numbers, as many as the checked limit) is computed here and now, so that the scan of the
     wide columns gets the article ids as literals and skips the row groups that hold none of them.
     """
     winners = top.collect()
     small = top.sparkSession.createDataFrame(winners, top.schema)
     wanted = articles.filter(F.col("article_id").isin([w["article_id"] for w in winners]))
     rows = with_article_columns(small, wanted, small=True).select(*columns)
-    return rows.orderBy(*order).limit(MAX_LIMIT)
+    return rows.orderBy(*order)
 
 
 def facet_search(catalog: DataFrame, filters: Filters, limit: int = DEFAULT_LIMIT) -> DataFrame:

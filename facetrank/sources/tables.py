@@ -52,9 +52,12 @@ def _with_key_blooms(writer, *keys: str):
 def write_catalog(df: DataFrame, path: str) -> None:
     """Write a new version of the catalog; an existing path is refused, so a failed write costs nothing.
 
+    So is an article_id that occurs twice.
+
     Rows are ranged by the two coarsest facets: their filters then skip whole files by statistics.
     The unique id as last sort key lets Spark split a facet value that holds much of the catalog.
     """
+    refuse_repeated(df, "article_id")
     ranged = (
         check_catalog(df)
         .repartitionByRange("index_group_name", "product_group_name", "article_id")
@@ -69,6 +72,7 @@ def save_catalog_table(df: DataFrame, table: str, buckets: int, path: str | None
     For upserts and for batches whose results outgrow a broadcast: both join on the article key, and
     the wide rows of a bucketed table stay where they are. Within a bucket, rows are sorted by facet.
     """
+    refuse_repeated(df, "article_id")
     writer = check_catalog(df).repartition(buckets, "article_id").write
     writer = writer.bucketBy(buckets, "article_id").sortBy("index_group_name", "product_group_name")
     writer = _with_key_blooms(writer, "article_id", "product_code").mode("errorifexists")

@@ -206,7 +206,7 @@ _COMPACT = """concat('{', array_to_string(list_filter([
 _ASKED_BY_ANSWERS = f"""
 SELECT f.query_id, f.publico, f.categoria, f.colores, f.colores_excluidos, f.tono, f.estampado,
        e.embedding AS query_vec, 3 AS limite
-FROM fields f JOIN embeddings e ON e.vec_id = f.query_id % 500"""
+FROM fields f JOIN (SELECT *, count(*) OVER () AS vectors FROM embeddings) e ON e.vec_id = f.query_id % e.vectors"""
 
 _INDEX_HALF = f"SELECT DISTINCT product_code FROM ({t.sql_text(t.FIRST_LOAD)})"
 
@@ -311,9 +311,10 @@ SELECT columna, valor, n FROM counted JOIN facets USING (columna)""",
     "text_sample": f"""
 {_WITH} SELECT article_id, detail_desc FROM articles WHERE detail_desc IS NOT NULL ORDER BY article_id LIMIT 3""",
     "masked_mean_pool": """
-WITH words AS (SELECT doc_id AS text_id, unnest(string_split(text, ' ')) AS word FROM documents),
+WITH words AS (SELECT doc_id AS text_id, unnest(string_split(text, ' ')) AS word,
+  generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
 counted AS (
-  SELECT text_id, length(word) % 500 AS vec_id, CASE WHEN length(word) = 1 THEN 0 ELSE 1 END AS mask, count(*) AS c
+  SELECT text_id, (text_id * 131 + length(word) * 31 + pos) % (SELECT count(*) FROM embeddings) AS vec_id, CASE WHEN length(word) = 1 THEN 0 ELSE 1 END AS mask, count(*) AS c
   FROM words GROUP BY 1, 2, 3),
 parts AS (
   SELECT text_id, mask, c, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i

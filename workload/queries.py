@@ -264,7 +264,7 @@ def answers_to_search(spark, sf):
     """Model answers to ranked products; the vector of a request is a given one, by its number."""
     typed = answers.validate_answers(t.view(spark, sf, t.MODEL_ANSWERS), t.VOCABULARY)
     given = t.load(spark, sf, "embeddings").select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("query_vec"))
-    asked = typed.withColumn("_vec", F.col("query_id") % 500).join(given, "_vec").drop("_vec")
+    asked = typed.withColumn("_vec", F.col("query_id") % given.count()).join(given, "_vec").drop("_vec")
     asked = asked.withColumn("limite", F.lit(3))
     found = batch.search_batch(t.catalog(spark, sf), t.vectors(spark, sf), asked)
     return _rounded(found.results.select("query_id", "rank", "product_code", "article_id", "variantes", "distancia"))

@@ -119,11 +119,11 @@ WHERE article_id >= (SELECT count(*) / 2 FROM {{part}}) AND {which}
     for copy, which in ((1, "true"), (2, "article_id % 3 = 0"))
 )
 
-# Words of whole documents as tokens: the vector of a word is that of its length; one-letter words are masked.
+# Words of whole documents as tokens: the vector of a word follows from document, length and place; one-letter words are masked.
 SPARK_TOKENS = """
 SELECT w.text_id, w.pos, w.mask, e.embedding AS vec
 FROM (SELECT doc_id AS text_id, pos, CASE WHEN length(word) = 1 THEN 0 ELSE 1 END AS mask,
-             length(word) % 500 AS vec_id
+             (doc_id * 131 + length(word) * 31 + pos) % (SELECT count(*) FROM {embeddings}) AS vec_id
       FROM {documents} LATERAL VIEW posexplode(split(text, ' ', -1)) t AS pos, word) w
 JOIN {embeddings} e ON e.vec_id = w.vec_id
 """
