@@ -211,4 +211,5 @@ def read_records(spark: SparkSession, packages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds[n]) for n in names], names)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(tasks, "path", "range").mapInArrow(run, RECORD)
+    # Rows are small and stand for much to read: by another key than that of the grouping, which would be merged.
+    return ranges.repartition(tasks, F.xxhash64("path", "range")).mapInArrow(run, RECORD)
