@@ -137,7 +137,9 @@ def best_order(cost: np.ndarray, rejected: np.ndarray) -> list[int]:
 
 def sample_texts(docs: DataFrame) -> list[str | None]:
     """At most SAMPLE texts that pass the base rules."""
-    ordered = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    # Only ids compete for the sample; the texts of those chosen alone reach the driver.
+    ordered = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").limit(SAMPLE)
     return [t for _, t in ordered.collect() if not base_failed(Text(t))]
 
 
