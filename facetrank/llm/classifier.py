@@ -147,8 +147,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 0) -> Model:
     """Learn from the labels given; filter them first to hold rows out."""
-    rows = labelled_rows(docs, labels, label).select("doc_id", "_label", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["_label"], r["text"] or ""))[:LABELLED]
+    # Rows may repeat a doc_id: each task keeps LABELLED of them at most, and so does the driver.
+    rows = labelled_rows(docs, labels, label).select("doc_id", "_label", "text")
+    rows = rows.orderBy("doc_id", "_label", "text").limit(LABELLED).collect()
     return train([r["text"] for r in rows], [r["_label"] for r in rows], seed)
 
 
