@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetrank.llm.common import map_batches, words
+from facetrank.llm.common import held, map_batches, words
 
 #: Labelled rows that the classifier is fitted on, at most.
 LABELLED = 1500
@@ -72,9 +72,6 @@ class _Words(dict):
         return value
 
 
-_known: dict[str, _Words] = {}
-
-
 @dataclass
 class Model:
     """`weight`: the layer's difference of both labels applied to each bucket's vector; `constant`: the same for none."""
@@ -84,12 +81,10 @@ class Model:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, text: str | None) -> float:
-        if self.name not in _known:
-            _known.clear()
-            _known[self.name] = _Words(self)
+        known = held(("words of a model", self.name), lambda: _Words(self))
         found = words(text)
         twice = TWICE_PARTS * pairs(found)
-        total = sum(map(_known[self.name].__getitem__, found), complex(twice * float(self.weight[TWICE]), twice))
+        total = sum(map(known.__getitem__, found), complex(twice * float(self.weight[TWICE]), twice))
         argument = self.constant + (total.real / total.imag if total.imag else 0.0)
         return 1 / (1 + math.exp(-argument)) if argument > -700 else 0.0
 

@@ -17,6 +17,21 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+_held: dict[tuple, dict] = {}
+
+
+def held(key: tuple, make: Callable[[], dict]) -> dict:
+    """What this worker remembers under `key`; `make` starts it empty.
+
+    A worker holds one such table at a time: workers serve job after job, and the tables of earlier operators would
+    add up in memory.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply a function from batch to batch inside the tasks."""
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetrank.llm.common import join_hot, map_batches, words
+from facetrank.llm.common import held, join_hot, map_batches, words
 from facetrank.llm.components import connected_components
 from facetrank.shared import write_once
 
@@ -63,9 +63,6 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers evenly (an invertible mixing step)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -78,7 +75,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     found = words(text.lower() if text and text.isascii() else _lower(text))
     if not found:
         return np.zeros(0, np.uint64)
-    word = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    word = np.fromiter(map(held(("word hashes",), _WordHashes).__getitem__, found), np.uint64, len(found))
     size = min(size, len(word))
     # The number of words is part of the hash: a lone word equals no longer shingle.
     total = np.full(len(word) - size + 1, size, np.uint64)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from facetrank.llm.common import held
+
 #: Pieces that a worker remembers (about 200 bytes each); further ones are encoded each time they come.
 REMEMBERED = 1_000_000
 
@@ -46,8 +47,7 @@ class Pieces(dict):
         return ids
 
 
-@lru_cache(maxsize=4)
-def _pieces(path: str) -> Pieces:
+def _start(path: str) -> Pieces:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -78,4 +78,4 @@ def encode(path: str, text: str | None) -> bytes:
     """Ids of a whole text (null: none), as little-endian unsigned 32-bit integers."""
     if not text:
         return b""
-    return b"".join(map(_pieces(path).__getitem__, split_pieces(text)))
+    return b"".join(map(held(("pieces", path), lambda: _start(path)).__getitem__, split_pieces(text)))
