@@ -45,11 +45,11 @@ FARTHEST = 40
 #: Documents of a block.
 BLOCK = 2048
 #: Shingles that a cell handles at once.
-_COLUMNS = 4096
+_COLUMNS = 1024
 _LONGS = -(-PLACES // 8)
 
-#: Hashes of words that a worker remembers.
-REMEMBERED = 800_000
+#: Hashes of words that a worker remembers; hashing one again costs little.
+REMEMBERED = 100_000
 
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MORE = np.random.default_rng(12).integers(0, 1 << 63, PLACES, dtype=np.uint64)
