@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,16 +78,14 @@ def masked_mean_pool(
 ) -> DataFrame:
     """One vector per text: sum(vec * mask) / max(sum(mask), 1e-9).
 
-    One sum per dimension keeps the aggregation in generated code with fixed-size buffers. Sums are
-    combined on the map side, so a text with very many tokens reaches its reducer as a few partial
-    vectors. Texts whose mask is all zero give a zero vector.
+    One vector aggregate, whatever the dimension. Sums are combined on the map side, so a text with very many
+    tokens reaches its reducer as a few partial vectors. A null mask counts as zero; texts whose mask is all zero
+    give a zero vector.
     """
-    weight = F.col(mask).cast("double")
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
     checked = tokens.select(key, weight.alias("_weight"), checked_vector(F.col(vec), dim).alias("_vec"))
+    masked = F.transform("_vec", lambda x: x.cast("double") * F.col("_weight"))
     sums = checked.groupBy(key).agg(
-        F.sum("_weight").alias("_weight"),
-        *[F.expr(f"sum(CAST(_vec[{i}] AS DOUBLE) * _weight)").alias(f"_sum_{i}") for i in range(dim)],
-    )
-    totals = ", ".join(f"_sum_{i}" for i in range(dim))
-    floor = F.greatest(F.col("_weight"), F.lit(MIN_MASK_SUM))
-    return sums.select(key, F.transform(F.expr(f"array({totals})"), lambda x: x / floor).alias(vec))
+        F.sum("_weight").alias("_total"), Summarizer.sum(array_to_vector(masked)).alias("_sum"))
+    floor = F.greatest(F.col("_total"), F.lit(MIN_MASK_SUM))
+    return sums.select(key, F.transform(vector_to_array("_sum"), lambda x: x / floor).alias(vec))
