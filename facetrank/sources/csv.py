@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetrank.schema import CATALOG_SCHEMA
@@ -21,7 +21,7 @@ def missing_as_null(col: Column) -> Column:
 def read_catalog_csv(spark: SparkSession, path, limit: int = 0, multiline: bool = True) -> DataFrame:
     """The ten catalog columns, by header name, plus `seq`, the position of the row in the input.
 
-    `limit` > 0 keeps the first rows in file order (files in path order). Quoted line breaks need
+    `limit` > 0 keeps the first rows in file order (files in path order, see `first_rows`). Quoted line breaks need
     `multiline`, which reads each file in one task: store a large catalog as many files, or set it
     to False if no cell holds a line break, and Spark splits the files.
     """
@@ -36,7 +36,26 @@ def read_catalog_csv(spark: SparkSession, path, limit: int = 0, multiline: bool
         F.monotonically_increasing_id().alias("row"),
     ).alias("seq")
     rows = raw.select(*columns, seq)
-    return rows.orderBy("seq").limit(limit) if limit > 0 else rows
+    return first_rows(rows, limit) if limit > 0 else rows
+
+
+def first_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` rows by `seq`.
+
+    Rows are counted by file block here and now (one narrow row a block); the blocks before the cut then stay whole and where
+    they are, and only rows of the block that is cut are numbered.
+    """
+    in_order = Window.orderBy("file", "block")
+    blocks = rows.groupBy("seq.file", "seq.block").agg(F.count(F.lit(1)).alias("n"))
+    cut = blocks.withColumn("until", F.sum("n").over(in_order)).filter(F.col("until") >= limit).orderBy("until").head()
+    if cut is None:
+        return rows
+    here = F.struct(F.lit(cut["file"]).alias("file"), F.lit(cut["block"]).alias("block"))
+    place = F.struct(F.col("seq.file").alias("file"), F.col("seq.block").alias("block"))
+    numbered = Window.partitionBy("seq.file", "seq.block").orderBy("seq.row")
+    part = rows.filter(place == here).withColumn("_n", F.row_number().over(numbered))
+    part = part.filter(F.col("_n") <= limit - (cut["until"] - cut["n"])).drop("_n")
+    return rows.filter(place < here).unionByName(part)
 
 
 def write_catalog_csv(df: DataFrame, path: str) -> None:

@@ -182,3 +182,12 @@ def test_column_profile_and_value_counts(spark):
 def test_text_nulls_and_sample(raw):
     assert profile.text_nulls(raw).first()["nulos"] == 2
     assert [r["article_id"] for r in profile.text_sample(raw, "article_id").collect()] == [1, 2, 3]
+
+
+def test_first_rows_cut_at_any_place_equal_the_sorted_ones(spark, tmp_path):
+    for name, ids in (("a", range(3)), ("b", range(3, 4)), ("c", range(4, 9))):
+        write_csv(tmp_path / f"{name}.csv", [{"article_id": i, "product_code": 1, "prod_name": "p"} for i in ids])
+    for limit in range(1, 11):
+        first = read_catalog_csv(spark, str(tmp_path), limit=limit)
+        assert sorted(r["article_id"] for r in first.collect()) == list(range(min(limit, 9)))
+        assert "TakeOrdered" not in first._jdf.queryExecution().executedPlan().toString()

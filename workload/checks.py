@@ -273,6 +273,25 @@ WITH requests AS ({_REQUESTS})
 SELECT query_id, CAST({_PEDIDOS} AS VARCHAR) AS completo, {_COMPACT} AS compacto FROM requests""",
     "catalog_clean": f"{_WITH} SELECT * FROM articles WHERE {_CLEAN}",
     "catalog_from_csv": f"{_WITH} SELECT * FROM articles WHERE {_CLEAN}",
+    "catalog_first_rows": f"""
+{_WITH}, placed AS (SELECT *, row_number() OVER (ORDER BY article_id) AS place, count(*) OVER () AS n FROM articles)
+SELECT {_WIDE} FROM placed WHERE place <= n * 2 // 3""",
+    "load_catalog": f"""
+WITH batches AS (
+  SELECT 1 AS carga, * FROM ({t.sql_text(t.FIRST_LOAD)})
+  UNION ALL SELECT 2, * EXCLUDE (seq) FROM ({t.sql_text(t.SECOND_LOAD)})),
+flagged AS (
+  SELECT *, product_group_name IN ({', '.join(repr(w) for w in t.WHITELIST)}) AS known,
+    detail_desc IS NOT NULL AS described FROM batches),
+figures AS (
+  SELECT carga, count(*) AS leidas, count(*) FILTER (NOT known) AS fuera_de_lista,
+    count(*) FILTER (known AND NOT described) AS sin_descripcion,
+    count(*) FILTER (NOT (known AND described)) AS descartadas,
+    count(*) FILTER (known AND described) AS insertadas FROM flagged GROUP BY carga),
+totals AS (
+  SELECT r.carga, count(DISTINCT f.article_id) AS filas, count(DISTINCT f.product_code) AS productos
+  FROM figures r JOIN flagged f ON f.carga <= r.carga AND f.known AND f.described GROUP BY r.carga)
+SELECT *, filas - productos AS variantes_extra FROM figures JOIN totals USING (carga)""",
     "upsert_last_wins": f"""
 WITH stored AS ({t.sql_text(t.FIRST_LOAD)}), batch AS ({t.sql_text(t.SECOND_LOAD)}),
 every AS (

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from facetrank.functions import text, vectors as vec
 from facetrank.operators import answers, encoder, load, profile, relax
-from facetrank.plans import batch, index, reports, search
+from facetrank.plans import batch, index, phrase, reports, search
+from facetrank.plans import load as load_plan
 from facetrank.schema import CATALOG_COLUMNS, FILTER_FIELDS, HARD_FIELDS, Filters
 from facetrank.shared import scratch_path
 from facetrank.sources import csv, tables as store
@@ -135,6 +136,24 @@ def catalog_from_csv(spark, sf):
     return load.clean(csv.read_catalog_csv(spark, path), t.WHITELIST).drop("seq")
 
 
+def catalog_first_rows(spark, sf):
+    """The first two thirds of a catalog in several files, in file order."""
+    path = scratch_path(spark, "csv")
+    whole = t.catalog(spark, sf)
+    csv.write_catalog_csv(whole.repartitionByRange(8, "article_id").sortWithinPartitions("article_id"), path)
+    return csv.read_catalog_csv(spark, path, limit=whole.count() * 2 // 3).drop("seq")
+
+
+def load_catalog(spark, sf):
+    """Two loads, the second over the first; the report of each."""
+    first, second = scratch_path(spark, "catalog"), scratch_path(spark, "catalog")
+    rows = t.view(spark, sf, t.FIRST_LOAD).withColumn("seq", F.col("article_id"))
+    one = load_plan.load_catalog(rows, t.WHITELIST, first)
+    stored = store.read_catalog(spark, first)
+    two = load_plan.load_catalog(t.view(spark, sf, t.SECOND_LOAD), t.WHITELIST, second, stored)
+    return one.withColumn("carga", F.lit(1)).unionByName(two.withColumn("carga", F.lit(2)))
+
+
 def upsert_last_wins(spark, sf):
     return load.upsert(t.view(spark, sf, t.FIRST_LOAD), t.view(spark, sf, t.SECOND_LOAD))
 
@@ -282,17 +301,30 @@ def phrase_search(spark, sf):
     return _rounded(found.results.select("query_id", "rank", "product_code", "article_id", "variantes", "distancia"))
 
 
+def phrase_envelopes(spark, sf):
+    """The whole way from a phrase and its answers to an envelope, by one call."""
+    path = scratch_path(spark, "index")
+    whole = load.clean(t.catalog(spark, sf), t.WHITELIST)
+    model = encoder.HashedEncoder.fit(index.product_texts(whole), "texto", t.DIM)
+    index.build_index(whole, path, model)
+    found = phrase.search_phrases(whole, path, t.view(spark, sf, t.MODEL_ANSWERS), t.VOCABULARY, model, limit=5)
+    return found.select(
+        "query_id", "frase", "total", F.array_join("filtros_relajados", ", ").alias("filtros_relajados"),
+        F.array_join(F.transform("resultados", lambda r: r["product_code"].cast("string")), ",").alias("productos"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hybrid_search, facet_search, facet_in_notin, facet_count, knn_global,
         strict_requests, facet_batch, facet_envelopes, relax_batch, hybrid_batch, search_envelopes,
         filter_report, filters_as_json,
-        catalog_clean, catalog_from_csv, upsert_last_wins, catalog_checked, vectors_stored,
+        catalog_clean, catalog_from_csv, catalog_first_rows, load_catalog, upsert_last_wins, catalog_checked, vectors_stored,
         tables_ready, catalog_totals, facet_distribution, load_report,
         column_profile, value_counts, text_nulls, text_sample,
         masked_mean_pool, l2_normalize,
         product_texts, pending_products, index_build,
-        validate_answers, answers_to_search, phrase_search,
+        validate_answers, answers_to_search, phrase_search, phrase_envelopes,
     )
 }
