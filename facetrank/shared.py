@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_block: ContextVar[str] = ContextVar("scratch block", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/facetrank/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/facetrank/{_block.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside the block are removed at its end, after errors too.
+
+    DataFrames made inside read them: store or collect what is wanted before the block ends. Blocks may be nested.
+    """
+    token = _block.set(f"{_block.get()}block-{uuid.uuid4().hex}/")
+    folder = f"{shared_dir(spark).rstrip('/')}/facetrank/{_block.get()}"
+    try:
+        yield folder
+    finally:
+        _block.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_once(df: DataFrame, label: str) -> DataFrame:
