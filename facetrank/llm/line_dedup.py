@@ -1,9 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through lines of at least EVIDENCE words. A line held by at most RARE documents pairs
-each holder with the first holder and with the one before it; a more frequent one pairs each with the first only,
-so that pairs grow with the lines, whatever a line's frequency, and no document that repeats lines goes without a
-partner. Each pair is aligned by patience diff over hashes of whole lines. Runs of aligned lines that are neighbours
+Overlapping documents are found through windows: from each line on, and up to each line, the shortest run of lines that
+holds `min_words` words, whatever the length of the lines. Each holder of a window is paired with the window's first
+holder. Any block of that many words that a document shares with an earlier one is covered by such windows, and the first
+holder of each has the whole window; so pairs grow with the lines, and a window's frequency changes nothing.
+Each pair is aligned by patience diff over hashes of whole lines. Runs of aligned lines that are neighbours
 in both documents and hold at least `min_words` words are deleted from the later document; runs from several
 partners add up. Documents are ordered by doc_id, then by a hash of their text.
 
@@ -21,16 +22,17 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetrank.llm.common import join_hot, map_batches
 from facetrank.shared import write_once
 
-EVIDENCE = 4
-RARE = 64
 MIN_WORDS = 20
 
+#: Odd, so that it has an inverse among 64-bit integers.
+_BASE = 0x9E3779B97F4A7C15
+
 _KEY = "struct<doc_id:bigint,ver:bigint>"
 
 
@@ -56,16 +58,34 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return map_batches(read, run, f"doc {_KEY}, hashes array<long>, n_words array<int>")
 
 
-def overlapping(lines: DataFrame) -> DataFrame:
-    """(later, earlier): pairs of documents that share a line that counts as evidence."""
-    told = F.filter(F.arrays_zip("hashes", "n_words"), lambda x: x["n_words"] >= EVIDENCE)
-    held = lines.select("doc", F.explode(F.array_distinct(told["hashes"])).alias("line"))
-    holders = held.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = join_hot(held, holders.filter("n > 1"), ["line"], F.xxhash64("doc"))
-    stars = shared.filter(F.col("doc") != F.col("first")).select(F.col("doc").alias("later"), F.col("first").alias("earlier"))
-    before = F.lag("doc").over(Window.partitionBy("line").orderBy("doc"))
-    chains = shared.filter(F.col("n") <= RARE).select(F.col("doc").alias("later"), before.alias("earlier"))
-    return stars.unionByName(chains.filter(F.col("earlier").isNotNull())).distinct()
+def windows(hashes: list[int], n_words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shortest runs that hold min_words words, from each line on and up to each line: first line, line after, hash."""
+    n, least = len(hashes), max(min_words, 1)
+    total = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
+    until = np.searchsorted(total, total[:-1] + least)
+    at = np.searchsorted(total, total[1:] - least, "right") - 1
+    onward, upward = np.flatnonzero(until <= n), np.flatnonzero(at >= 0)
+    at, until = np.concatenate([onward, at[upward]]), np.concatenate([until[onward], upward + 1])
+    powers, inverses = (np.cumprod(np.full(n + 1, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 2**64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.int64).view(np.uint64) * powers[:n])])
+    keys = (sums[until] - sums[at]) * inverses[at] + (until - at).astype(np.uint64) * powers[0]
+    return at, until, keys.view(np.int64)
+
+
+def overlapping(lines: DataFrame, min_words: int) -> DataFrame:
+    """(later, earlier): each document that holds a window, with the first document that holds it."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(windows(h, n, min_words)[2]) for h, n in zip(*(batch.column(c).to_pylist() for c in (1, 2)))]
+        docs = np.repeat(np.arange(len(found), dtype=np.int32), [len(keys) for keys in found])
+        keys = np.concatenate([np.empty(0, np.int64), *found])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array(keys)], ["doc", "window"])
+
+    held = map_batches(lines.select("doc", "hashes", "n_words"), run, f"doc {_KEY}, window long")
+    holders = held.groupBy("window").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = join_hot(held, holders.filter("n > 1"), ["window"], F.xxhash64("doc"))
+    return shared.filter(F.col("doc") != F.col("first")).select(
+        F.col("doc").alias("later"), F.col("first").alias("earlier")).distinct()
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -162,7 +182,7 @@ def dropped_lines(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFra
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns, `text` without the deleted lines, with n_lines (before), n_dropped and dropped."""
     lines = write_once(document_lines(docs).dropDuplicates(["doc"]), "document-lines")
-    pairs = write_once(overlapping(lines), "overlapping-documents")
+    pairs = write_once(overlapping(lines, min_words), "overlapping-documents")
     found = write_once(dropped_lines(lines, pairs, min_words), "dropped-lines")
     rows = docs.drop("n_lines", "n_dropped", "dropped").withColumn("__doc", _doc())
     found = found.select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"), F.col("kept_runs").alias("__runs"))

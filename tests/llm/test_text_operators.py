@@ -297,6 +297,35 @@ def test_line_dedup(documents):
     assert line_dedup.dedup_lines(documents([])).collect() == []
 
 
+def plain_dropped(texts, min_words=20):
+    """Lines of each text, in order, that lie in a block of min_words words which an earlier text holds."""
+    dropped, before = [], set()
+    for text in texts:
+        lines, here, gone = text.split("\n"), set(), set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[i:j]) >= min_words:
+                    here.add(tuple(lines[i:j]))
+                    if tuple(lines[i:j]) in before:
+                        gone |= set(range(i, j))
+        before |= here
+        dropped.append(sorted(gone))
+    return dropped
+
+
+def many_words(name, n=12):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("holders", [63, 64, 3000])
+def test_line_dedup_at_any_frequency(documents, holders):
+    passage = [many_words(x) for x in "pqrst"]
+    texts = [f"{many_words(f'x{i}')}\n{line}\n{many_words(f'y{i}')}" for i, line in enumerate(passage)]
+    texts += [f"{many_words(f'v{i}')}\n" + "\n".join(passage) + f"\n{many_words(f'w{i}')}" for i in range(holders)]
+    got = {r.doc_id: r.dropped for r in line_dedup.dedup_lines(documents(list(enumerate(texts)))).collect()}
+    assert got == {i: [1, 2, 3, 4, 5] if i > 5 else [] for i in range(holders + 5)}
+
+
 def test_classifier_learns_and_takes_odd_rows(spark, documents):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = QUERIES["op5_subword_classifier"](spark, SF).collect()
