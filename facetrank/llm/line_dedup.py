@@ -5,10 +5,12 @@ holds `min_words` words, whatever the length of the lines. Each holder of a wind
 holder. Any block of that many words that a document shares with an earlier one is covered by such windows, and the first
 holder of each has the whole window; so pairs grow with the lines, and a window's frequency changes nothing.
 Each pair is aligned by patience diff over hashes of whole lines. Runs of aligned lines that are neighbours
-in both documents and hold at least `min_words` words are deleted from the later document; runs from several
-partners add up. Documents are ordered by doc_id, then by a hash of their text.
+in both documents and hold at least `min_words` words are deleted from the later document. A diff can't align blocks that
+either document holds twice or in another order; these are found by their windows and go as well, with every copy in the later
+document. Runs from several partners add up. So just those lines go that lie in a block of `min_words` words which an
+earlier document holds. Documents are ordered by doc_id, then by a hash of their text.
 
-Of each passage the first holder keeps its lines. Null texts stay null and have no lines; rows that repeat doc_id and
+Of each passage the first holder keeps its lines, also where it repeats them. Null texts stay null and have no lines; rows that repeat doc_id and
 text are one document, which is not deleted from itself; rows that repeat only doc_id are different documents. A
 null doc_id comes first. Columns are kept whatever their names, except that `text` is cut and `n_lines`,
 `n_dropped` and `dropped` (line numbers from 0) are replaced and that names may not begin with two underscores. An empty table stays empty.
@@ -113,7 +115,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of two lists of line hashes, rising in both.
 
     Equal heads and tails of a stretch are aligned; between them, lines that occur once on either side are anchors,
-    and the stretches between anchors are aligned in the same way. A stretch without anchors ends it.
+    and the stretches between anchors are aligned in the same way. A stretch without anchors ends it; common_blocks()
+    finds the blocks in it.
     """
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -139,19 +142,24 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_blocks(later: list[int], earlier: list[int], n_words: list[int], min_words: int) -> list[int]:
+def common_blocks(later: list[int], n_words: list[int], earlier: list[int], n_earlier: list[int], min_words: int) -> list[int]:
     """Line numbers of the later document in runs that are to be deleted."""
-    dropped: list[int] = []
+    dropped: set[int] = set()
     run: list[int] = []
     before = (-2, -2)
     for x, y in [*patience(later, earlier), (-2, -2)]:
         if (x, y) != (before[0] + 1, before[1] + 1):
             if sum(n_words[i] for i in run) >= min_words:
-                dropped += run
+                dropped.update(run)
             run = []
         run.append(x)
         before = (x, y)
-    return dropped
+    if len(dropped) < len(later):
+        at, until, keys = windows(later, n_words, min_words)
+        shared = np.isin(keys, windows(earlier, n_earlier, min_words)[2])
+        edges = np.bincount(at[shared], minlength=len(later) + 1) - np.bincount(until[shared], minlength=len(later) + 1)
+        dropped.update(np.flatnonzero(np.cumsum(edges)).tolist())
+    return sorted(dropped)
 
 
 def dropped_lines(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
@@ -159,16 +167,16 @@ def dropped_lines(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFra
 
     def align(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs, numbers = [], []
-        for i, (a, n, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-            found = common_blocks(a, b, n, min_words)
+        for i, pair in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)))):
+            found = common_blocks(*pair, min_words)
             docs += [i] * len(found)
             numbers += found
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(docs, pa.int32())), pa.array(numbers, pa.int32())], ["doc", "line"])
 
     own = lines.select(F.col("doc").alias("later"), "hashes", "n_words")
-    other = lines.select(F.col("doc").alias("earlier"), F.col("hashes").alias("other"))
-    both = pairs.join(own, "later").join(other, "earlier").select("later", "hashes", "n_words", "other")
+    other = lines.select(F.col("doc").alias("earlier"), F.col("hashes").alias("other"), F.col("n_words").alias("n_other"))
+    both = pairs.join(own, "later").join(other, "earlier").select("later", "hashes", "n_words", "other", "n_other")
     found = map_batches(both, align, f"doc {_KEY}, line int").groupBy("doc").agg(F.collect_set("line").alias("dropped"))
 
     sizes = lines.select("doc", F.size("hashes").alias("_n"))

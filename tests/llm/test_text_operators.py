@@ -326,6 +326,27 @@ def test_line_dedup_at_any_frequency(documents, holders):
     assert got == {i: [1, 2, 3, 4, 5] if i > 5 else [] for i in range(holders + 5)}
 
 
+@pytest.mark.parametrize("first, later", [(1, 2), (2, 1), (2, 2)])
+def test_line_dedup_of_a_passage_held_twice(documents, first, later):
+    passage = [many_words(x) for x in "pqrst"]
+
+    def text(i, times):
+        return "\n".join(line for n in range(times) for line in [many_words(f"x{i}n{n}n"), *passage, many_words(f"y{i}n{n}n")])
+
+    texts = [text(i, later if i else first) for i in range(70)]
+    got = {r.doc_id: r.dropped for r in line_dedup.dedup_lines(documents(list(enumerate(texts)))).collect()}
+    assert got == {i: [7 * n + k for n in range(later) for k in range(1, 6)] if i else [] for i in range(70)}
+
+
+def test_line_dedup_equals_brute_force(documents):
+    rng = random.Random(3)
+    kinds = ["", " ", *[many_words(f"k{n}n", n) for n in (1, 3, 5, 7, 9, 11, 13, 20, 21)]]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randrange(1, 14))) for _ in range(80)]
+    texts = list(dict.fromkeys(texts))
+    got = {r.doc_id: r.dropped for r in line_dedup.dedup_lines(documents(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(plain_dropped(texts)))
+
+
 def test_classifier_learns_and_takes_odd_rows(spark, documents):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = QUERIES["op5_subword_classifier"](spark, SF).collect()
