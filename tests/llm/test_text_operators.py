@@ -338,6 +338,12 @@ def test_line_dedup_of_a_passage_held_twice(documents, first, later):
     assert got == {i: [7 * n + k for n in range(later) for k in range(1, 6)] if i else [] for i in range(70)}
 
 
+def test_line_dedup_of_short_lines(documents):
+    verse = "\n".join(many_words(f"v{i}w", 3) for i in range(20))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents([(i, f"own {i}\n{verse}") for i in range(30)])).collect()}
+    assert got == {i: f"own {i}" if i else f"own 0\n{verse}" for i in range(30)}
+
+
 def test_line_dedup_equals_brute_force(documents):
     rng = random.Random(3)
     kinds = ["", " ", *[many_words(f"k{n}n", n) for n in (1, 3, 5, 7, 9, 11, 13, 20, 21)]]
