@@ -4,6 +4,8 @@ A source gets the weight of its amount to the power of `temperature`; its target
 `epochs` times the whole. The mean repetition rate of a source is target over amount. Each document draws its
 number of copies by inverting the Poisson distribution of that mean at a number in [0, 1) made from a hash of seed,
 doc_id and text; the copies are then shuffled globally by a hash. Only DataFrame functions are used.
+A rate above LARGEST is cut into equal parts, each with a number of its own, and the draws of the parts are added: a sum of
+independent Poisson draws is one of the summed rate.
 
 Null sources are a source of their own. The amount of a document is the length of its text and 1 at least (null:
 1). Rows that repeat doc_id and text draw the same number each; a null doc_id is hashed as an empty string. Columns
@@ -23,6 +25,9 @@ from facetrank.shared import write_once
 #: Sources up to which their table of rates is sent to all tasks (about 1 KB each). More are joined with salted keys.
 SENT_SOURCES = 2000
 
+#: Rate that one draw inverts at most: exp(-rate) loses digits from about 708 on and is 0 from 746 on.
+LARGEST = 700
+
 #: Hexadecimal digits of a hash that make a number in [0, 1).
 _DIGITS = 12
 
@@ -62,7 +67,9 @@ def mix(docs: DataFrame, source: str = "source", temperature: float = 0.7, epoch
         seed: str = "mix") -> DataFrame:
     """All columns of each copy, with `copy` (from 0) and `shuffle_key`; rows come in the order of the shuffle."""
     rates = source_rates(docs, source, temperature, epochs)
-    tables = write_once(rates.withColumn("__cdf", poisson_cdf(F.col("rate"))).drop("rate"), "source-rates")
+    parts = F.greatest(F.ceil(F.col("rate") / LARGEST), F.lit(1)).cast("int")
+    rates = rates.withColumn("__parts", parts).withColumn("__cdf", poisson_cdf(F.col("rate") / F.col("__parts")))
+    tables = write_once(rates.drop("rate"), "source-rates")
     doc_id, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
     drawn = uniform(F.lit(seed), doc_id, F.md5(text))
     if tables.count() <= SENT_SOURCES:
@@ -72,16 +79,24 @@ def mix(docs: DataFrame, source: str = "source", temperature: float = 0.7, epoch
         small = tables.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = F.col("__part") == F.col("__salt")
     joined = big.join(small, F.col(source).eqNullSafe(F.col("__source")) & salted)
-    copies = F.size(F.filter("__cdf", lambda below: below <= drawn))
+
+    def inverted(number: Column) -> Column:
+        return F.size(F.filter("__cdf", lambda below: below <= number))
+
+    def add(so_far: Column, part: Column) -> Column:
+        return so_far + inverted(uniform(F.lit(seed), doc_id, F.md5(text), part.cast("string")))
+
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), add)
+    copies = inverted(drawn) + F.when(F.col("__parts") > 1, more).otherwise(0)
     out = joined.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1))))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc_id, F.md5(text), F.col("copy").cast("string")))
-    out = out.drop("__source", "__cdf", "__part", "__salt").withColumn("shuffle_key", key)
+    out = out.drop("__source", "__cdf", "__parts", "__part", "__salt").withColumn("shuffle_key", key)
     return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def mix_sql(documents: str, source: str = "source", temperature: float = 0.7, epochs: float = 1.0,
             seed: str = "mix") -> str:
-    """DuckDB SQL of the same rows, for a table or a bracketed query."""
+    """DuckDB SQL of the same rows, for a table or a bracketed query, where no rate is above LARGEST."""
     return f"""
     WITH RECURSIVE docs AS (SELECT * FROM {documents}),
     amounts AS (SELECT {source} AS s, sum(greatest(coalesce(length(text), 0), 1))::DOUBLE AS amount FROM docs GROUP BY 1),

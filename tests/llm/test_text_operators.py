@@ -263,6 +263,15 @@ def test_mixing_reaches_its_targets(spark):
     assert all(abs(n - 20_000 / 8) < 250 for n in share.values()) and len(share) == 8
 
 
+def test_mixing_at_large_rates(spark):
+    docs = spark.range(100).select(
+        F.col("id").alias("doc_id"), F.lit("abcde").alias("text"), F.lit("small").alias("source"))
+    for rate in (700.0, 1000.0, 2000.0):
+        copies = [r["count"] for r in mixing.mix(docs, epochs=rate).groupBy("doc_id").count().collect()]
+        assert len(copies) == 100 and abs(np.mean(copies) - rate) < 5 * (rate / 100) ** 0.5
+        assert 0.6 * rate < np.var(copies) < 1.6 * rate
+
+
 def test_patience():
     a, b = [1, 2, 3, 9, 4, 5, 9], [7, 2, 3, 8, 4, 5, 6, 9]
     assert line_dedup.patience(a, b) == [(1, 1), (2, 2), (4, 4), (5, 5), (6, 7)]
