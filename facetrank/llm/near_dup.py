@@ -15,7 +15,8 @@ more than FARTHEST places differ from it (at a similarity of 0.8 to a third docu
 some twenty shared keys would have to lie in the rest). Clusters that the first round left in several components
 are cut into blocks; each pair of blocks is a cell of at most BLOCK * BLOCK documents, which compares whole sets and
 returns no more links than join its components. So a group of documents that are alike, but not enough, costs
-arithmetic, not rows. Nothing is capped.
+arithmetic, not rows. No group is capped, but the guarantee is one of the index: two documents whose shared keys are all led by
+documents more than FARTHEST places away, and which nothing else brings together, are not compared.
 
 Documents without words are linked with nothing. Rows that share a doc_id are one document. Rows with a null doc_id
 take no part: component_id is null and they are kept. Other columns are not read.
