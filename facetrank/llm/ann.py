@@ -5,7 +5,8 @@ A unit vector, padded to a power of two D, goes through three rounds of random s
 rotation of its own. A query looks into the `probes` buckets of each table whose axes are nearest to it. Norms are
 taken out before hashing: vectors are kept apart by norm (each band a factor of two wide) and every query looks into
 all bands, so the order by inner product follows the direction within a band up to that factor. Candidates are
-ranked by the exact inner product in double precision.
+ranked by the exact inner product in double precision. A query that finds fewer than `k` looks into all buckets of one table,
+which is exact.
 
 Equal vectors are one candidate with its `k` + 1 smallest ids (more can't be among the nearest). Buckets are dealt
 over cells of bounded size, by candidates and by queries; a cell returns the best of each of its queries.
@@ -29,6 +30,7 @@ from facetrank.shared import write_once
 
 TABLES = 8
 PROBES = 14
+ALL_BUCKETS = 1 << 31
 #: Vectors of a cell, and queries of a cell, at about 1 KB each.
 CELL = 32_768
 CELL_QUERIES = 4096
@@ -148,26 +150,9 @@ def _search_cell(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
-            seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best found for each row where `is_query` holds.
-
-    `is_query` is an expression of the column `id`. A query's own id is no candidate.
-    """
-    rows = _vectors(vectors, id_col, vector_col)
-    order = F.dense_rank().over(Window.partitionBy("vkey").orderBy("id"))
-    members = rows.withColumn("_r", order).filter(F.col("_r") <= k + 1).groupBy("vkey").agg(
-        F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.first("band").alias("band"),
-        F.sort_array(F.collect_set("id")).alias("ids"),
-    ).withColumn("rep", F.col("ids")[0])
-    members = write_once(_axes(members, tables, 1, seed), "hashed-vectors")
-    asking = rows.filter(is_query)
-    queries = asking.groupBy("vkey").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim"))
-    queries = write_once(_axes(queries, tables, probes, seed), "hashed-queries")
-
+def _lists(members: DataFrame, sizes: DataFrame, queries: DataFrame, tables: int, k: int) -> DataFrame:
+    """qkey, best: up to k + 1 nearest ids found in the first `tables` tables, the query's own among them."""
     # Rows of at most (lengths) x (bands) x (tables) x (axes); cells hold whole buckets as long as these are small.
-    sizes = members.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("groups"))
-    sizes = write_once(sizes, "bands")
     numbers = F.sequence(F.lit(0), F.lit(tables - 1))
     buckets = members.join(sizes, ["dim", "band"]).withColumn("table", F.explode(numbers))
     axis = F.col("axes")[F.col("table")][0]
@@ -203,8 +188,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     best = best.select("qkey", "score", F.explode("ids").alias("id"))
     by_id = Window.partitionBy("qkey").orderBy(F.desc("score"), "id")
     best = best.withColumn("_r", F.row_number().over(by_id)).filter(F.col("_r") <= k + 1)
-    lists = best.groupBy("qkey").agg(F.sort_array(F.collect_list(
+    return best.groupBy("qkey").agg(F.sort_array(F.collect_list(
         F.struct((-F.col("score")).alias("minus"), "id", "score"))).alias("best"))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
+            seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k best found for each row where `is_query` holds.
+
+    `is_query` is an expression of the column `id`. A query's own id is no candidate.
+    """
+    rows = _vectors(vectors, id_col, vector_col)
+    order = F.dense_rank().over(Window.partitionBy("vkey").orderBy("id"))
+    members = rows.withColumn("_r", order).filter(F.col("_r") <= k + 1).groupBy("vkey").agg(
+        F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.first("band").alias("band"),
+        F.sort_array(F.collect_set("id")).alias("ids"),
+    ).withColumn("rep", F.col("ids")[0])
+    members = write_once(_axes(members, tables, 1, seed), "hashed-vectors")
+    asking = rows.filter(is_query)
+    queries = asking.groupBy("vkey").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+    queries = write_once(_axes(queries, tables, probes, seed), "hashed-queries")
+
+    sizes = members.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("groups"))
+    sizes = write_once(sizes, "bands")
+    lists = write_once(_lists(members, sizes, queries, tables, k), "nearest")
+    # Queries that found too few look into all buckets.
+    enough = lists.filter(F.size("best") > k).select(F.col("qkey").alias("vkey"))
+    short = queries.drop("axes").join(enough, "vkey", "left_anti")
+    short = write_once(_axes(short, 1, ALL_BUCKETS, seed), "short-queries")
+    if not short.isEmpty():
+        whole = _lists(members, sizes, short, 1, k)
+        lists = lists.filter(F.size("best") > k).unionByName(whole)
     answers = asking.select("id", F.col("vkey").alias("qkey")).distinct().join(lists, "qkey")
     others = F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k)
     return answers.select(F.col("id").alias("query_id"), F.posexplode(others).alias("_p", "_x")).select(

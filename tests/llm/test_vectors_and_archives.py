@@ -57,6 +57,16 @@ def test_all_buckets_give_the_exact_result(spark, monkeypatch):
     assert got == brute(rows, [i for i, _ in rows if i % 4 == 0], 5)
 
 
+def test_small_tables_give_all_candidates(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(11)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], VECTORS)
+    got = {}
+    for r in ann.nearest(df, F.col("id") >= 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute(rows, range(11), 20)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, -0.0]), (4, [1.0, nan]), (5, [inf, 1.0]),
