@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetrank.llm import (
-    ann, classifier, line_dedup, mixing, near_dup, packing, quality_rules, secrets, token_files, warc,
+    ann, classifier, conversation_trie, language, line_dedup, mixing, near_dup, packing, quality_rules, secrets, spelling,
+    token_files, warc,
 )
 from facetrank.shared import scratch_path
 
@@ -29,9 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remainder(doc_id: str = "doc_id"):
-    """crc32 of doc_id as text, modulo 3."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+def remainder(doc_id: str = "doc_id", divisor: int = 3):
+    """crc32 of an id as text, modulo the divisor."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor
 
 
 def ids_crc32(ids: str = "ids"):
@@ -119,10 +120,35 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Conversations of a block share the first turns of its first one, HEADS - 1 at most.
+BLOCK_OF_CONVERSATIONS = 100
+HEADS = 6
+
+
+def op11_truncation_peeling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    head = remainder("conv_id", HEADS).cast("int")
+    rebuilt = conversation_trie.with_shared_heads(turns, BLOCK_OF_CONVERSATIONS, head, HEADS - 1)
+    nodes = conversation_trie.prefix_trie(conversation_trie.sequences(rebuilt))
+    return nodes.withColumn("ends_sha256", F.lower(F.hex("ends"))).drop("ends")
+
+
+def op12_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), spelling.dropped_letter))
+
+
+def op13_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(divisor=4) == 2, F.lit(False))
+    found = language.predicted(docs, language.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cross_polytope, op2_rule_cascade, op3_zip_warc, op4_minhash_hamming, op5_subword_classifier,
         op6_poisson_mixture, op7_line_alignment, op8_rans_tokens, op9_sum_of_squares, op10_blob_ledger,
+        op11_truncation_peeling, op12_fm_index, op13_family_svm,
     )
 }
