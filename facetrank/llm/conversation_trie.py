@@ -52,7 +52,8 @@ def turns_in_order(conversations: DataFrame) -> DataFrame:
 def with_shared_heads(turns: DataFrame, group: int, head: Column, longest: int) -> DataFrame:
     """Replace the first `head` turns of a conversation by those of conversation conv_id - conv_id % group.
 
-    `head` is at most `longest`; an absent conversation has no turns to give.
+    `head` is at most `longest`; an absent conversation has no turns to give. The remainder of a negative conv_id is
+    negative, as in SQL.
     """
     base = turns.filter(F.col("conv_id") % group == 0).select(
         F.col("conv_id").alias("base_id"), F.slice("turns", 1, longest).alias("base"))
@@ -142,7 +143,7 @@ def key_at(depth: Column) -> Column:
 def lone_tails(rows: DataFrame) -> DataFrame:
     """rows of `ended`, with `last`: from depth last + 1 on the nodes of a row are its own alone (depth, if that is not known)."""
     depths = F.sequence(F.lit(BAND), F.col("depth"), F.lit(BAND))
-    long = rows.filter(F.col("depth") > BAND).select("key", "chain", F.explode(depths).alias("at"))
+    long = rows.filter(F.col("depth") >= BAND).select("key", "chain", F.explode(depths).alias("at"))
     entered = long.select("key", "at", key_at(F.col("at")).alias("prefix"))
     alone = entered.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("at"), F.first("key").alias("key"))
     first = alone.filter("_n = 1").groupBy("key").agg(F.min("at").alias("last"))

@@ -29,6 +29,8 @@ from facetrank.llm.common import map_batches
 
 #: Texts of a language that are learned from, at most.
 PER_LANGUAGE = 400
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 BUCKETS = 4096
 GRAMS = (1, 2, 3, 4)
 EPOCHS = 12
@@ -159,10 +161,15 @@ def learned_rows(docs: DataFrame, language: str) -> DataFrame:
     rows = docs.filter(F.col(language).isNotNull() & F.col("text").rlike("\\p{L}")).select(
         F.col(language).cast("string").alias("language"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Ids are ranked without the texts; rows of one id are chosen by a digest of the text.
-    ranked = Window.partitionBy("language").orderBy("_hash", "doc_id", "_digest")
+    order = ["_hash", "doc_id", "_digest"]
+    part = F.pmod("_hash", F.lit(PARTS)).alias("_part")
     rows = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))).withColumn("_digest", F.md5("text"))
-    chosen = rows.select("language", "doc_id", "_hash", "_digest").distinct().withColumn("_rank", F.row_number().over(ranked))
-    chosen = chosen.filter(F.col("_rank") <= PER_LANGUAGE).select(
+    chosen = rows.select("language", "doc_id", "_hash", "_digest", part).distinct()
+    # The first of each part, then the first of these: no task ranks more than PARTS * PER_LANGUAGE rows.
+    for keys in (["language", "_part"], ["language"]):
+        ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("_rank", ranked).filter(F.col("_rank") <= PER_LANGUAGE)
+    chosen = chosen.select(
         F.col("language").alias("_language"), F.col("_hash").alias("_chosen"), F.col("_digest").alias("_of"))
     same = (F.col("language") == F.col("_language")) & (F.col("_hash") == F.col("_chosen")) & (F.col("_digest") == F.col("_of"))
     return rows.join(F.broadcast(chosen), same).dropDuplicates(["language", "_hash", "_digest"]).select("language", "doc_id", "text")
