@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetrank.shared import write_once
-
 #: Copies of each row of the narrow side in a join whose other side may hold a hot key.
 SALTS = 8
 
@@ -63,10 +61,10 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, rows: str, spread:
     """Left equi-join with `small`, which has each key once and in `rows` the number of `big`'s rows that hold it.
 
     A key is dealt over as many parts as its rows need. The table of keys in several parts has at most one row for each
-    PART rows of `big`; it is stored, so Spark sends it to all tasks only if it is small.
+    PART rows of `big`.
     """
     parts = F.ceil(F.col(rows) / PART).cast("int")
-    several = write_once(small.select(key, parts.alias("__parts")).filter("__parts > 1"), "keys-in-parts")
+    several = small.select(key, parts.alias("__parts")).filter("__parts > 1")
     salt = F.pmod(spread, F.coalesce("__parts", F.lit(1))).cast("int")
     dealt = big.join(several, key, "left").withColumn("__salt", salt).drop("__parts")
     repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(rows)

@@ -10,13 +10,16 @@ matter: at a similarity of 0.8 a pair misses all keys with a chance of 2e-6.
 
 Links are confirmed on full sets (64-bit hashes of whole shingles). In a first round each document is compared with the
 partner, among the smallest documents under its keys, with which it shares most keys; that joins most copies without
-forming all pairs of a group. The documents under a key belong to one cluster, through the smallest of them, unless
-more than FARTHEST places differ from it (at a similarity of 0.8 to a third document that is close to neither, all of
-some twenty shared keys would have to lie in the rest). Clusters that the first round left in several components
+forming all pairs of a group. Then the documents under each key are clustered by their signatures, so that any two
+at a distance of at most THRESHOLD come into one cluster: documents up to SETTLED + THRESHOLD places from the key's smallest
+document are in its star, those up to SETTLED places need no other one, and the rest meet each other in cells of at most
+two blocks of HOLDERS, where the same is done again with the next smallest document until none is left. (If a document is
+settled by a leader, all within THRESHOLD of it are in that leader's star, by the triangle inequality.) A cell returns no
+more edges than join its documents. Clusters that the first round left in several components
 are cut into blocks; each pair of blocks is a cell of at most BLOCK * BLOCK documents, which compares whole sets and
 returns no more links than join its components. So a group of documents that are alike, but not enough, costs
-arithmetic, not rows. No group is capped, but the guarantee is one of the index: two documents whose shared keys are all led by
-documents more than FARTHEST places away, and which nothing else brings together, are not compared.
+arithmetic, not rows. No group is capped: two documents that share a key and lie within THRESHOLD are always compared, those
+within GUARANTEED always share one. At a similarity of 0.8 the distance exceeds THRESHOLD with a chance of 1e-7.
 
 Documents without words are linked with nothing. Rows that share a doc_id are one document. Rows with a null doc_id
 take no part: component_id is null and they are kept. Other columns are not read.
@@ -42,8 +45,12 @@ CHUNKS = 10
 WIDTH = 5
 PLACES = CHUNKS * WIDTH
 GUARANTEED = 2 * CHUNKS - 1
-FARTHEST = 40
-#: Documents of a block.
+#: Places that two signatures differ in at most, if sharing a key is to bring them together for certain.
+THRESHOLD = 26
+#: A document so close to a key's leader shares all its partners with it.
+SETTLED = 10
+#: Documents of a block of signatures, and of one of whole sets.
+HOLDERS = 4096
 BLOCK = 2048
 #: Shingles that a cell handles at once.
 _COLUMNS = 1024
@@ -284,6 +291,63 @@ def _links_in_clusters(members: DataFrame, full: DataFrame, percent: int) -> Dat
     return rows.mapInArrow(run, "v long, u long")
 
 
+def close_edges(nodes: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join all pairs within THRESHOLD; nodes in ascending order, one row of bytes each. At most one fewer than nodes."""
+    component = np.arange(len(nodes))
+    pool = np.arange(len(nodes))
+    edges = []
+    while len(pool) > 1:
+        leader, others = pool[0], pool[1:]
+        apart = np.count_nonzero(signatures[others] != signatures[leader], axis=1)
+        star = others[apart <= SETTLED + THRESHOLD]
+        labels, first = np.unique(component[star], return_index=True)
+        new = labels != component[leader]
+        edges += [(int(nodes[i]), int(nodes[leader])) for i in star[first[new]]]
+        if new.any():
+            component[np.isin(component, labels)] = component[leader]
+        pool = others[apart > SETTLED]
+    return edges
+
+
+def _edges_in_keys(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """v, u from (key, node): `close_edges` of the nodes under each key."""
+    counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    blocks = counts.select("key", F.ceil(F.col("_n") / HOLDERS).cast("int").alias("blocks"))
+    members = join_hot(rest, blocks, ["key"], F.xxhash64("node"))
+    block, other = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = members.withColumn("block", block).withColumn("other", other).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node")
+    rows = cells.join(sets.select("node", "signature"), "node").select("key", "i", "j", "node", "signature")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            columns = list(zip(*edges)) or [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "u"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            keys_ = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(3)])
+            nodes = np.asarray(batch.column(3))
+            longs = np.ascontiguousarray(np.asarray(batch.column(4).flatten(), "<i8").reshape(-1, _LONGS))
+            found = [keys_, nodes, longs.view(np.uint8)[:, :PLACES]]
+            if held is not None:
+                found = [np.concatenate(x) for x in zip(held, found)]
+            keys_, nodes, signatures = found
+            starts = np.flatnonzero(np.any(keys_[1:] != keys_[:-1], axis=1)) + 1
+            edges = []
+            for a, b in zip([0, *starts], starts):
+                if b - a > 1:
+                    edges += close_edges(nodes[a:b], signatures[a:b])
+            last = int(starts[-1]) if len(starts) else 0
+            held = [x[last:] for x in found]
+            yield out(edges)
+        if held is not None:
+            yield out(close_edges(held[1], held[2]))
+
+    return rows.mapInArrow(run, "v long, u long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached over links), kept: one row for each row."""
     rows = write_once(signed(docs, size), "signatures")
@@ -295,10 +359,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     entries = write_once(_entries(sets), "index")
     met = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("_most"))
     met = met.filter("least < _most").select("key", "least")
-    shared = join_hot(entries, met, ["key"], F.xxhash64("node"))
-    stars = shared.filter("node <> least").groupBy(F.col("node").alias("v"), F.col("least").alias("u")).agg(
-        F.count(F.lit(1)).alias("n_keys"))
-    stars = write_once(stars, "stars")
+    shared = write_once(join_hot(entries, met, ["key"], F.xxhash64("node")).filter("node <> least"), "shared-keys")
+    mine, other = sets.select(F.col("node").alias("v"), "signature"), sets.select(
+        F.col("node").alias("u"), F.col("signature").alias("other"))
+    stars = shared.groupBy(F.col("node").alias("v"), F.col("least").alias("u")).agg(F.count(F.lit(1)).alias("n_keys"))
+    apart = distance(F.col("signature"), F.col("other")).alias("apart")
+    stars = write_once(stars.join(mine, "v").join(other, "u").select("v", "u", "n_keys", apart), "stars")
     nodes = stars.select(F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("node"))).distinct()
     full = shingle_sets(docs, nodes, size)
 
@@ -307,10 +373,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = write_once(confirmed(first, full, percent), "links")
     components = write_once(connected_components(links), "components")
 
-    mine, other = sets.select(F.col("node").alias("v"), "signature"), sets.select(
-        F.col("node").alias("u"), F.col("signature").alias("other"))
-    apart = distance(F.col("signature"), F.col("other"))
-    close = stars.select("v", "u").join(mine, "v").join(other, "u").filter(apart <= FARTHEST).select("v", "u")
+    close = stars.filter(F.col("apart") <= SETTLED + THRESHOLD).select("v", "u")
+    far = stars.filter(F.col("apart") > SETTLED).select(F.col("v").alias("node"), F.col("u").alias("least"))
+    rest = write_once(shared.join(far, ["node", "least"], "left_semi").select("key", "node"), "unsettled")
+    close = close.unionByName(_edges_in_keys(rest, sets))
     clusters = connected_components(close).withColumnRenamed("component", "cluster")
     members = clusters.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     links = links.unionByName(_links_in_clusters(write_once(members, "clusters"), full, percent))
