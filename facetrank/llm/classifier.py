@@ -2,8 +2,9 @@
 
 A word stands for its own hashed vector and those of its character n-grams, and each pair of equal neighbours for
 one more vector, counted TWICE_PARTS times. A document is the mean of all these, and a softmax layer turns it into
-the chances of both labels. Vectors and layer are learned by stochastic gradient descent in numpy, on at most
-LABELLED rows: those with the smallest hash of doc_id among the labelled ones that may be learned from. Scores
+the chances of both labels. Vectors and layer are learned by stochastic gradient descent in numpy, in one task, on at most
+LABELLED rows: those with the smallest hash of doc_id among the labelled ones that may be learned from. That task gets
+counts of at most BUCKETS parts a row, not texts; the driver gets the weights alone. Scores
 need no label; whole texts are read, in training as well.
 
 As the score's argument is linear in the mean, a word counts by two numbers: what its parts add to it and how many
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -38,6 +40,8 @@ EPOCHS = 5
 RATE = 0.4
 #: Words that a worker remembers (about 150 bytes each); further ones are computed each time they come.
 REMEMBERED = 800_000
+#: Words whose parts a task remembers in training.
+KNOWN = 50_000
 
 
 def parts(word: bytes) -> list[int]:
@@ -72,6 +76,10 @@ class _Words(dict):
         return value
 
 
+_COUNTED = "doc_id long, _label int, _digest string, buckets binary, shares binary"
+_COUNTED_NAMES = [f.split()[0] for f in _COUNTED.split(", ")]
+
+
 @dataclass
 class Model:
     """`weight`: the layer's difference of both labels applied to each bucket's vector; `constant`: the same for none."""
@@ -89,8 +97,33 @@ class Model:
         return 1 / (1 + math.exp(-argument)) if argument > -700 else 0.0
 
 
+class _Parts(dict):
+    def __missing__(self, word: bytes) -> np.ndarray:
+        value = np.array(parts(word), np.int32)
+        if len(self) < KNOWN:
+            self[word] = value
+        return value
+
+
+def part_counts(text: str | None, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text in ascending order, and the share of each."""
+    found = words(text)
+    counts = np.zeros(BUCKETS, np.float32)
+    counts[TWICE] += TWICE_PARTS * pairs(found)
+    for word, n in Counter(found).items():
+        np.add.at(counts, known[word], n)
+    buckets = np.flatnonzero(counts).astype(np.int32)
+    return buckets, counts[buckets] / max(1, counts.sum())
+
+
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     """Label 1 against label 0."""
+    known = _Parts()
+    return learn([part_counts(t, known) for t in texts], labels, seed)
+
+
+def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 0) -> Model:
+    """From the `part_counts` of texts."""
     labels = np.asarray(labels, int)
     share = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
@@ -99,20 +132,6 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer = np.zeros((2, DIM), np.float32)
     bias = np.zeros(2, np.float32)
-    known: dict[bytes, list[int]] = {}
-    rows = []
-    for text in texts:
-        counts: Counter[int] = Counter()
-        found = words(text)
-        counts[TWICE] += TWICE_PARTS * pairs(found)
-        for word, n in Counter(found).items():
-            if word not in known:
-                known[word] = parts(word)
-            for bucket in known[word]:
-                counts[bucket] += n
-        buckets = np.fromiter(counts, np.int64, len(counts))
-        share_of = np.fromiter(counts.values(), np.float32, len(counts))
-        rows.append((buckets, share_of / max(1, share_of.sum())))
     steps, total = 0, EPOCHS * len(rows)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
@@ -137,15 +156,38 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = chosen.filter(F.col("_label").isin(0, 1)).distinct()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(LABELLED)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 0) -> Model:
     """Learn from the labels given; filter them first to hold rows out."""
-    # Rows may repeat a doc_id: each task keeps LABELLED of them at most, and so does the driver.
-    rows = labelled_rows(docs, labels, label).select("doc_id", "_label", "text")
-    rows = rows.orderBy("doc_id", "_label", "text").limit(LABELLED).collect()
-    return train([r["text"] for r in rows], [r["_label"] for r in rows], seed)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Parts()
+        for batch in batches:
+            found = [part_counts(t, known) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([b.tobytes() for b, _ in found], pa.binary()),
+                 pa.array([n.tobytes() for _, n in found], pa.binary())], _COUNTED_NAMES)
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, known_labels = [], []
+        for batch in batches:
+            known_labels += batch.column(1).to_pylist()
+            rows += [(np.frombuffer(b, np.int32), np.frombuffer(n, np.float32))
+                     for b, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+        model = learn(rows, known_labels, seed)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weight.astype(np.float32).tobytes()], pa.binary()), pa.array([model.constant], pa.float64())],
+            ["weight", "constant"])
+
+    rows = labelled_rows(docs, labels, label).select("doc_id", "_label", F.md5("text").alias("_digest"), "text")
+    # Rows may repeat a doc_id: LABELLED of them at most are learned from.
+    rows = rows.mapInArrow(counted, _COUNTED).orderBy("doc_id", "_label", "_digest").limit(LABELLED)
+    found = rows.repartition(1).sortWithinPartitions("doc_id", "_label", "_digest").mapInArrow(
+        learned, "weight binary, constant double").first()
+    if found is None:
+        return learn([], [], seed)
+    return Model(np.frombuffer(bytes(found["weight"]), np.float32), found["constant"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
