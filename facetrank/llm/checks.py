@@ -25,8 +25,10 @@ def _secrets_sql() -> str:
     def found(place: int, rule) -> str:
         pattern = rule.pattern.replace("'", "''")
         return f"""
-        SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, i, m[i] AS own, g[i] AS tested, b[:i] AS before, m[:i-1] AS earlier
+        SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, i, m[i] AS own, g[i] AS tested, b[:i] AS before, m[:i-1] AS earlier,
+               {"length(l[i])" if rule.lead else 0} AS lead
         FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g,
+                     regexp_extract_all(t, '{pattern}', {rule.lead}) AS l,
                      string_split_regex(t, '{pattern}') AS b
               FROM texts WHERE regexp_matches(t, '{pattern}')), unnest(generate_series(1, len(m))) AS u(i)
         WHERE length(g[i]) >= {rule.at_least}"""
@@ -37,10 +39,10 @@ def _secrets_sql() -> str:
     return f"""
     WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     matches AS ({every}),
-    placed AS (SELECT doc_id, kind, place, own,
+    placed AS (SELECT doc_id, kind, place, own, lead,
                       (list_sum(list_transform(before, lambda x: length(x))) + coalesce(list_sum(list_transform(earlier, lambda x: length(x))), 0))::BIGINT AS start
                FROM matches),
-    spans AS (SELECT *, kind || ':' || start || ':' || (start + length(own)) AS span FROM placed)
+    spans AS (SELECT doc_id, kind, place, start + lead AS start, kind || ':' || (start + lead) || ':' || (start + length(own)) AS span FROM placed)
     SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY start, place) FILTER (kind IN ({base})), '')) AS base_sha256,
            coalesce(string_agg(span, ',' ORDER BY start, place), '') AS spans
     FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""

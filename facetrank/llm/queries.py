@@ -97,8 +97,10 @@ BASE_KINDS = ("assign", "access", "hex")
 
 
 def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan(docs, scratch_path(spark, "ledger"), uuid.uuid4().hex)
+    """Two increments of one ledger: texts that the first one scanned are not scanned again."""
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "ledger")
+    secrets.scan(docs.filter("doc_id % 2 = 0"), ledger, uuid.uuid4().hex)
+    found = secrets.scan(docs, ledger, uuid.uuid4().hex)
     kinds = F.array(*[F.lit(r.kind) for r in secrets.RULES])
     ordered = F.sort_array(F.transform("findings", lambda x: F.struct(
         x["start"].alias("start"), F.array_position(kinds, x["kind"]).alias("place"), x["kind"].alias("kind"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetrank.llm.common import join_hot
@@ -28,6 +28,8 @@ class Rule:
     version: int = 1
     group: int = 0
     at_least: int = 1
+    #: A group before the finding, which is no part of it.
+    lead: int = 0
     #: A string that each match contains, in any case; texts without it are not scanned.
     needs: str = ""
 
@@ -42,8 +44,9 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", at_least=20, needs="AKIA"),
     # Runs of these characters: only those of 24 and more are looked for, the others would be dropped.
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("key_block", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", needs="-----BEGIN"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs="eyJ"),
+    # No repeated groups, and no start inside a run of the same characters: time grows with the text, whatever it holds.
+    Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", version=2, needs="-----BEGIN"),
+    Rule("jwt", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2, lead=1, needs="eyJ"),
 )
 
 #: rule is kind@version.
@@ -51,40 +54,46 @@ FINDING = "struct<rule:string,kind:string,start:int,end:int>"
 LEDGER = f"blob string, applied array<string>, findings array<{FINDING}>"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Findings of a rule, in code points, end exclusive.
+_MATCH = "struct<rule:string,kind:string,at_least:int,place:int,own:int,before:int,tested:int,lead:int>"
+
+
+def matches(text: Column, rule: Rule) -> Column:
+    """The matches of a rule in order: lengths of each, of the text before it, and of its groups, in code points.
 
     The text between the matches is what the text splits into, so places follow from lengths.
     """
     pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    between = F.split(text, rule.pattern, -1)
-    pairs = F.zip_with(
-        F.transform(matches, F.length), F.transform(F.slice(between, 1, F.size(matches)), F.length),
-        lambda own, before: F.struct(own.alias("own"), before.alias("before")),
-    )
-    pairs = F.zip_with(
-        pairs, F.transform(tested, F.length),
-        lambda p, n: F.struct(p["own"].alias("own"), p["before"].alias("before"), n.alias("tested")),
-    )
-    none = F.array().cast(f"array<{FINDING}>")
+    own = F.regexp_extract_all(text, pattern, F.lit(0))
+    tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else own
+    lead = F.regexp_extract_all(text, pattern, F.lit(rule.lead)) if rule.lead else F.transform(own, lambda _: F.lit(""))
+    between = F.slice(F.split(text, rule.pattern, -1), 1, F.size(own))
+    zipped = F.arrays_zip(own.alias("own"), between.alias("before"), tested.alias("tested"), lead.alias("lead"))
+
+    def described(x: Column, place: Column) -> Column:
+        return F.struct(
+            F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(rule.at_least).alias("at_least"),
+            place.alias("place"), *[F.length(x[name]).alias(name) for name in ("own", "before", "tested", "lead")])
 
-    def step(so_far: Column, p: Column) -> Column:
-        start = so_far["at"] + p["before"]
-        found = F.struct(
-            F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), start.alias("start"),
-            (start + p["own"]).alias("end"),
-        )
-        kept = F.when(p["tested"] >= rule.at_least, F.concat(so_far["found"], F.array(found)))
-        return F.struct((start + p["own"]).alias("at"), kept.otherwise(so_far["found"]).alias("found"))
-
-    first = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    found = F.aggregate(pairs, first, step, lambda x: x["found"])
     there = F.regexp_like(text, pattern)
     if rule.needs:
         there = text.contains(rule.needs) & there
-    return F.when(there, found).otherwise(none)
+    return F.when(there, F.transform(zipped, described)).otherwise(F.array().cast(f"array<{_MATCH}>"))
+
+
+def findings(unseen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, findings of (blob, text, applied): one row for each blob with any.
+
+    Places are running sums over rows, so a text with millions of matches costs time in proportion and no large arrays
+    but the last one.
+    """
+    none = F.array().cast(f"array<{_MATCH}>")
+    found = [F.when(F.array_contains("applied", r.name), matches(F.col("text"), r)).otherwise(none) for r in rules]
+    rows = unseen.select("blob", F.inline(F.concat(*found)))
+    so_far = Window.partitionBy("blob", "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("before") + F.col("own")).over(so_far).cast("int")
+    placed = rows.withColumn("end", end).filter("tested >= at_least")
+    finding = F.struct("rule", "kind", (F.col("end") - F.col("own") + F.col("lead")).alias("start"), "end")
+    return placed.groupBy("blob").agg(F.collect_list(finding).alias("findings"))
 
 
 def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,12 +120,9 @@ def scan(versions: DataFrame, ledger: str, increment: str, rules: tuple[Rule, ..
     unseen = rows.select("blob", text.alias("text")).dropDuplicates(["blob"]).join(seen, "blob", "left")
     todo = F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>")))
     unseen = unseen.select("blob", "text", todo.alias("applied")).filter(F.size("applied") > 0)
-    found = [
-        F.when(F.array_contains("applied", r.name), spans(F.col("text"), r)).otherwise(
-            F.array().cast(f"array<{FINDING}>"))
-        for r in rules
-    ]
-    added = unseen.select("blob", "applied", F.concat(*found).alias("findings"))
+    none = F.array().cast(f"array<{FINDING}>")
+    added = unseen.select("blob", "applied").join(findings(unseen, rules), "blob", "left").select(
+        "blob", "applied", F.coalesce("findings", none).alias("findings"))
     added.write.parquet(f"{ledger.rstrip('/')}/{increment}")
     asked = F.filter("findings", lambda x: F.array_contains(wanted, x["rule"]))
     current = read_ledger(spark, ledger).withColumn("findings", asked).filter(F.size("findings") > 0)
