@@ -35,6 +35,23 @@ class Pieces(dict):
         self.encode = tokenizer.encode
         self.merge = tokenizer.model.tokenize
         self.is_byte_bpe = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.normalizer is None
+        # Tokens that the library finds in a text before it splits it, the leftmost and then longest first.
+        added = {token.content: (i, token) for i, token in tokenizer.get_added_tokens_decoder().items()}
+        self.added = {content: np.array([i], ID).tobytes() for content, (i, _) in added.items()}
+        by_length = sorted(added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, by_length))})") if added else None
+        # Those that take blanks or word ends into account are left to the library.
+        self.plain_added = not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values())
+
+    def of(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return b"".join(map(self.__getitem__, split_pieces(text)))
+        if not self.plain_added:
+            return np.array(self.encode(text, add_special_tokens=False).ids, ID).tobytes()
+        parts = self.cut.split(text)
+        return b"".join(
+            self.added[part] if i % 2 else b"".join(map(self.__getitem__, split_pieces(part))) if part else b""
+            for i, part in enumerate(parts))
 
     def __missing__(self, piece: str) -> bytes:
         if self.is_byte_bpe and _WORD.fullmatch(piece):  # one word needs no further splitting, only the merges
@@ -51,9 +68,7 @@ def _start(path: str) -> Pieces:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Pieces(tokenizer)
+    return Pieces(Tokenizer.from_file(path))
 
 
 def split_pieces(text: str) -> list[str]:
@@ -75,7 +90,10 @@ def split_pieces(text: str) -> list[str]:
 
 
 def encode(path: str, text: str | None) -> bytes:
-    """Ids of a whole text (null: none), as little-endian unsigned 32-bit integers."""
+    """Ids of a whole text (null: none), as little-endian unsigned 32-bit integers.
+
+    As the library by default, a text that spells an added token gets the id of that token.
+    """
     if not text:
         return b""
-    return b"".join(map(held(("pieces", path), lambda: _start(path)).__getitem__, split_pieces(text)))
+    return held(("pieces", path), lambda: _start(path)).of(text)
