@@ -2,8 +2,9 @@
 
 Each task packs its own rows as they come. Whole sequences are cut off a long document; its rest goes to the fill
 level that makes the sum of squared counts of partially filled sequences smallest (ties: the fullest). Counts are
-kept in an array by level. When a task ends, or holds MAX_OPEN open sequences, the emptiest of these are cut up to
-fill the others; so at most one sequence a task is padded. Nothing is shuffled.
+kept in an array by level. A task that holds MAX_OPEN open sequences fills the fullest of them with the tail of the emptiest,
+until one of both is gone, and goes on with the levels as they are; when it ends it does so with all that are open. So at
+most one sequence a task is padded. Nothing is shuffled.
 
 Null or empty texts have only the end id. Rows may repeat a doc_id: each is packed by itself. A null doc_id stays
 null. Other columns are not read. An empty table has no pieces.
@@ -36,6 +37,7 @@ class SumOfSquares:
         self.counts = np.zeros(size + 1, np.int64)
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(size)]
         self.closed: list[tuple] = []
+        self.n_open = 0
 
     def level_for(self, length: int) -> int:
         """Fill level (0: a new window) to put a piece shorter than a window into."""
@@ -57,8 +59,9 @@ class SumOfSquares:
             self._close(self._new_id(), [[doc_id, start, ids[4 * start : 4 * (start + size)], total]])
         if total > whole:
             self._place([doc_id, whole, ids[4 * whole :], total], total - whole)
-            if self.counts.sum() >= MAX_OPEN:
-                self.finish()
+            self.n_open = int(self.counts.sum())
+            while self.n_open >= MAX_OPEN:
+                self._fill_fullest()
 
     def _place(self, piece: list, length: int) -> None:
         level = self.level_for(length)
@@ -74,28 +77,43 @@ class SumOfSquares:
             self.open[level + length].append((window, pieces))
             self.counts[level + length] += 1
 
-    def finish(self) -> None:
-        """Close all windows: tails are cut off the emptiest to fill the fullest."""
-        left = [[level, *w] for level in range(self.size - 1, 0, -1) for w in self.open[level]]
-        first, last = 0, len(left) - 1
-        while first < last:
-            level, _, pieces = left[first]
-            donor = left[last][2]
-            length = len(donor[-1][2]) // 4
-            moved = min(length, self.size - level)
-            doc_id, start, ids, total = donor[-1]
+    def _fill_fullest(self) -> None:
+        """Move a tail of the emptiest open window to the fullest: one of them is full or gone then."""
+        held = np.flatnonzero(self.counts)
+        low, high = int(held[0]), int(held[-1])
+        window, pieces = self.open[high].pop()
+        donor, given = self.open[low].pop()
+        self.counts[high] -= 1
+        self.counts[low] -= 1
+        while given and high < self.size:
+            doc_id, start, ids, total = given[-1]
+            length = len(ids) // 4
+            moved = min(length, self.size - high)
             cut = length - moved
             pieces.append([doc_id, start + cut, ids[4 * cut :], total])
             if cut:
-                donor[-1][2] = ids[: 4 * cut]
+                given[-1][2] = ids[: 4 * cut]
             else:
-                donor.pop()
-            left[first][0] += moved
-            left[last][0] -= moved
-            first += left[first][0] == self.size
-            last -= left[last][0] == 0
-        for _, window, pieces in left[: last + 1]:
-            self._close(window, pieces)
+                given.pop()
+            high += moved
+            low -= moved
+        self.n_open -= 2
+        for level, number, left in ((high, window, pieces), (low, donor, given)):
+            if level == self.size:
+                self._close(number, left)
+            elif left:
+                self.open[level].append((number, left))
+                self.counts[level] += 1
+                self.n_open += 1
+
+    def finish(self) -> None:
+        """Close all windows: tails are cut off the emptiest to fill the fullest."""
+        self.n_open = int(self.counts.sum())
+        while self.n_open > 1:
+            self._fill_fullest()
+        for level in range(1, self.size):
+            for window, pieces in self.open[level]:
+                self._close(window, pieces)
         self.open = [[] for _ in range(self.size)]
         self.counts[:] = 0
 
