@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -73,6 +75,64 @@ def test_near_duplicates_in_blocks(documents, monkeypatch):
     assert got == plain_components(texts, 2)
 
 
+def hostile_texts(seed):
+    """Pairs of near copies, and documents of smaller id that quote some words of them and lead their keys."""
+    rng = random.Random(seed)
+    texts = []
+    for group in range(30):
+        base = [f"g{group}w{rng.randrange(10**6)}" for _ in range(101)]
+        copy = list(base)
+        for _ in range(4):
+            copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+        texts += [(100_000 + 10 * group, " ".join(base)), (100_001 + 10 * group, " ".join(copy))]
+        for i in range(20):
+            at, n = rng.randrange(90), rng.randrange(4, 12)
+            texts.append((100 * group + i, " ".join([*base[at : at + n], *(f"q{rng.random()}" for _ in range(rng.randrange(6)))])))
+    return texts
+
+
+def test_leaders_that_are_unlike_lose_no_link(documents):
+    texts = hostile_texts(3)
+    want = plain_components(texts, 2)
+    assert sum(want[100_001 + 10 * g] == 100_000 + 10 * g for g in range(30)) > 15
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(texts), 2).collect()} == want
+
+
+@pytest.mark.parametrize("holders", [4096, 5])
+def test_signatures_under_a_key_are_joined_like_brute_force(spark, monkeypatch, holders):
+    """Random signatures under shared keys, some within the threshold of each other, whatever leads them."""
+    monkeypatch.setattr(near_dup, "HOLDERS", holders)
+    rng = np.random.default_rng(8)
+    signatures = []
+    for _ in range(12):
+        base = rng.integers(0, 256, near_dup.PLACES)
+        for _ in range(6):
+            near = base.copy()
+            places = rng.choice(near_dup.PLACES, rng.integers(0, 34), replace=False)
+            near[places] = rng.integers(0, 256, len(places))
+            signatures.append(near)
+    signatures = np.array(signatures, np.uint8)[rng.permutation(len(signatures))]
+    held = [sorted(rng.choice(len(signatures), n, replace=False).tolist()) for n in (72, 40, 20, 2, 1)]
+    padded = np.zeros((len(signatures), near_dup._LONGS * 8), np.uint8)
+    padded[:, : near_dup.PLACES] = signatures
+    sets = spark.createDataFrame([(i, row.view("<i8").tolist()) for i, row in enumerate(padded)], "node long, signature array<long>")
+    rest = spark.createDataFrame([(k, i) for k, nodes in enumerate(held) for i in nodes], "key long, node long")
+    edges = [(r.v, r.u) for r in near_dup._edges_in_keys(rest, sets).collect()]
+    root = list(range(len(signatures)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for v, u in edges:
+        root[find(v)] = find(u)
+    apart = (signatures[:, None] != signatures[None]).sum(2)
+    pairs = [(a, b) for nodes in held for a in nodes for b in nodes if a < b and apart[a, b] <= near_dup.THRESHOLD]
+    assert pairs and all(find(a) == find(b) for a, b in pairs)
+    assert all(apart[v, u] <= near_dup.THRESHOLD + near_dup.SETTLED for v, u in edges)
+
+
 def test_near_duplicates_of_odd_rows(documents):
     rows = near_dup.near_duplicates(documents(ODD), 2).collect()
     assert len(rows) == len(ODD)
@@ -128,8 +188,7 @@ def test_best_order_prefers_rejections_per_cost():
 def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(vocabulary())
-    library.encode_special_tokens = True
+    library = Tokenizer.from_file(vocabulary())  # as it comes
     rng = random.Random(2)
     texts = [t or "" for _, t in ODD] + ["".join(rng.choice(" \n\t.,'!abA1é日　\xa0\x1cs") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
     for text in [*texts, "<|endoftext|> a", "it's  we'll 's.", "a\n  b", "x ʰ ý."]:
@@ -209,7 +268,8 @@ def plain_spans(text):
     for place, rule in enumerate(secrets.RULES):
         for m in re.finditer(rule.pattern, text or "", re.ASCII):
             if len(m.group(rule.group)) >= rule.at_least:
-                out.append((m.start(), place, f"{rule.kind}:{m.start()}:{m.end()}"))
+                start = m.start() + (len(m.group(rule.lead)) if rule.lead else 0)
+                out.append((start, place, f"{rule.kind}:{start}:{m.end()}"))
     return [s for _, _, s in sorted(out)]
 
 
@@ -221,6 +281,40 @@ SECRETS = [
 ]
 
 
+HOSTILE = [
+    "-----BEGIN ", "A ", "-----BEGIN A", "eyJaaaaaaaa", "eyJaaaaaaaa.", ".eyJaaaaaaaa", "eyJaaaaaaaa.eyJaaaaaaaa ", "token ", "AKIA",
+    "0123456789abcdef", "secret:'a ", "token=abcdef ",
+]
+
+
+def test_secret_scan_of_hostile_texts(spark, documents):
+    """Four megabytes of what patterns begin with: time grows with the text, and no stack overflows."""
+    short = [(i, "-----BEGIN " + piece * 50 + " x") for i, piece in enumerate(HOSTILE)]
+    long = [(100 + i, "-----BEGIN " + piece * (4_000_000 // len(piece))) for i, piece in enumerate(HOSTILE)]
+    docs = documents(short + long).select("doc_id", "text").repartition(12, "doc_id")
+    began = time.monotonic()
+    found = secrets.scan(docs, scratch_path(spark, "ledger"), "one")
+    counts = {r.doc_id: r.n for r in found.select("doc_id", F.size("findings").alias("n")).collect()}
+    assert time.monotonic() - began < 90
+    assert counts[111] == 4_000_000 // len(HOSTILE[11])
+    few = {r.doc_id: r.findings for r in found.filter("doc_id < 100").collect()}
+    for i, text in short:
+        assert sorted(f"{x.kind}:{x.start}:{x.end}" for x in few[i]) == sorted(plain_spans(text))
+
+
+def test_tokens_and_key_blocks_in_texts(spark, documents):
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM"
+    texts = [f"a {jwt} b", jwt, f"({jwt}).", f"x.{jwt}", f"x{jwt}", f"{jwt} {jwt}", f"é😀 {jwt}, -----BEGIN RSA PRIVATE KEY-----",
+             "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC  PRIVATE KEY-----x", "-----BEGIN PUBLIC KEY-----"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.findings for r in secrets.scan(documents(rows), scratch_path(spark, "ledger"), "one").collect()}
+    for i, text in rows:
+        found = sorted(got[i], key=lambda x: (x.start, x.end))
+        assert [f"{x.kind}:{x.start}:{x.end}" for x in found] == plain_spans(text)
+    assert [text[x.start : x.end] for i, text in rows[:4] for x in got[i]] == [jwt] * 4
+    assert got[4] == [] and len(got[5]) == 2
+
+
 def test_secret_spans(spark, documents):
     ledger = scratch_path(spark, "ledger")
     got = secrets.scan(documents(SECRETS).select("doc_id", "text", "score", "key"), ledger, "one").collect()
@@ -237,7 +331,7 @@ def test_ledger_scans_only_unseen_pairs(spark, documents):
     secrets.scan(docs, ledger, "two")
     second = spark.read.parquet(f"{ledger}/two")
     assert not blobs & {r.blob for r in second.collect()}
-    newer = tuple(secrets.Rule(r.kind, r.pattern, 2 if r.kind == "hex" else 1, r.group, r.at_least, r.needs) for r in secrets.RULES)
+    newer = tuple(replace(r, version=r.version + (r.kind == "hex")) for r in secrets.RULES)
     got = secrets.scan(docs, ledger, "three", newer)
     assert {tuple(r.applied) for r in spark.read.parquet(f"{ledger}/three").collect()} == {("hex@2",)}
     assert sum(len(r.findings) for r in got.collect()) == sum(len(plain_spans(t)) for _, t in SECRETS)
@@ -372,6 +466,9 @@ def test_classifier_learns_and_takes_odd_rows(spark, documents):
     model = classifier.fit(docs, labels)
     odd = classifier.score(documents(ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    chosen = sorted(classifier.labelled_rows(docs, labels, "quality").collect(), key=lambda r: (r.doc_id, r._label, hashlib.md5(r.text.encode()).hexdigest()))
+    plain = classifier.train([r.text for r in chosen], [r._label for r in chosen])
+    assert np.allclose(plain.weight, model.weight, atol=1e-6) and plain.constant == pytest.approx(model.constant)
     none = classifier.fit(docs, labels.filter("false"))
     assert {r.score for r in classifier.score(documents(ODD), none).collect()} == {0.5}
     assert "x" == classifier.scored(documents(ODD), none).first()["kept"]
