@@ -5,19 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetrank.functions.arrays import distances, matrix
-
 # Floors that keep empty masks and zero vectors from dividing by zero.
 MIN_MASK_SUM = 1e-9
 MIN_NORM = 1e-12
 
+#: Dimensions up to which a distance is written out term by term; longer expressions outgrow a compiled method.
+UNROLLED = 128
+
 
 def _sum(col: Column) -> Column:
     return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x)
@@ -44,25 +41,23 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def l2_distance_to(vec: str, query: Sequence[float]) -> Column:
-    """Distance of a vector column to a fixed vector.
+    """Distance of a vector column to a fixed vector; another length is an error.
 
-    The arithmetic is that of the batch ranking, in Arrow batches and for every dimension, so one request and the same
-    request in a table give equal bits and one order.
+    Squares are added from left to right, as in the batch ranking, so one request and the same request in a table
+    give equal bits and one order. Up to UNROLLED dimensions the sum is one generated expression.
     """
     values = [float(x) for x in query]
     if not values or not all(map(math.isfinite, values)):
         raise ValueError("a query vector needs finite numbers")
-    return _arrow_distance(values)(vec)
-
-
-def _arrow_distance(query: list[float]):
-    @F.arrow_udf("double")
-    def distance(vectors: pa.Array) -> pa.Array:
-        if len(vectors) == 0:
-            return pa.array([], pa.float64())
-        return pa.array(distances(matrix(vectors), np.asarray(query)))
-
-    return distance
+    numbers = [f"({x!r}D)" for x in values]
+    if len(values) <= UNROLLED:
+        terms = [f"(double(`{vec}`[{i}]) - {x})" for i, x in enumerate(numbers)]
+        total = " + ".join(f"{t} * {t}" for t in terms)
+    else:
+        total = (f"aggregate(zip_with(`{vec}`, array({', '.join(numbers)}), (x, q) -> (double(x) - q) * (double(x) - q)), "
+                 "0D, (total, x) -> total + x)")
+    return F.expr(f"CASE WHEN size(`{vec}`) = {len(values)} THEN sqrt({total}) "
+                  "ELSE raise_error('vectors of different length') END")
 
 
 def checked_vector(vec: Column, dim: int) -> Column:
@@ -78,14 +73,15 @@ def masked_mean_pool(
 ) -> DataFrame:
     """One vector per text: sum(vec * mask) / max(sum(mask), 1e-9).
 
-    One vector aggregate, whatever the dimension. Sums are combined on the map side, so a text with very many
-    tokens reaches its reducer as a few partial vectors. A null mask counts as zero; texts whose mask is all zero
-    give a zero vector.
+    A hash aggregate by text and place, in generated code for every dimension. Sums are combined on the map side, so a
+    text with very many tokens reaches its reducers as a few numbers a place. A null mask counts as zero; texts whose mask is
+    all zero give a zero vector.
     """
     weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
-    checked = tokens.select(key, weight.alias("_weight"), checked_vector(F.col(vec), dim).alias("_vec"))
-    masked = F.transform("_vec", lambda x: x.cast("double") * F.col("_weight"))
-    sums = checked.groupBy(key).agg(
-        F.sum("_weight").alias("_total"), Summarizer.sum(array_to_vector(masked)).alias("_sum"))
-    floor = F.greatest(F.col("_total"), F.lit(MIN_MASK_SUM))
-    return sums.select(key, F.transform(vector_to_array("_sum"), lambda x: x / floor).alias(vec))
+    checked = tokens.select(F.col(key).alias("_key"), weight.alias("_weight"), checked_vector(F.col(vec), dim).alias("_vec"))
+    places = checked.select("_key", "_weight", F.posexplode("_vec").alias("_place", "_x"))
+    sums = places.groupBy("_key", "_place").agg(
+        F.sum(F.col("_x").cast("double") * F.col("_weight")).alias("_sum"), F.sum("_weight").alias("_total"))
+    mean = F.struct("_place", (F.col("_sum") / F.greatest("_total", F.lit(MIN_MASK_SUM))).alias("_mean"))
+    pooled = sums.groupBy("_key").agg(F.array_sort(F.collect_list(mean)).alias("_means"))
+    return pooled.select(F.col("_key").alias(key), F.col("_means._mean").alias(vec))

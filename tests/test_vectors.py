@@ -100,12 +100,12 @@ def catalog(articles):
 
 @pytest.fixture(scope="module")
 def encoder(catalog):
-    return HashedEncoder.fit(index.product_texts(catalog), "texto", 256)
+    return HashedEncoder.fit(index.product_texts(catalog), "texto", 1024)
 
 
 def test_text_of_the_lowest_article_stands_for_the_product(spark, catalog):
     whole = {r["product_code"]: r["texto"] for r in index.product_texts(catalog).collect()}
-    assert whole == {c: f"P{c}. T-shirt. {d}" for c, d in WORDS.items()}
+    assert whole == {c: f"P{c}. Poncho. {d}" for c, d in WORDS.items()}
     none = spark.createDataFrame([], VECTOR_SCHEMA)
     assert {r["product_code"]: r["texto"] for r in index.product_texts(catalog, none).collect()} == whole
 
@@ -142,11 +142,11 @@ def test_encoder_is_deterministic_and_can_be_stored(spark, encoder, tmp_path):
     texts = spark.createDataFrame([(1, "Warm  JACKET, warm"), (2, "warm jacket warm"), (3, ""), (4, None)], "i int, s string")
     encoder.save(str(tmp_path / "encoder"))
     again = HashedEncoder.load(str(tmp_path / "encoder"))
-    assert (again.model_id, again.dim) == (encoder.model_id, 256)
+    assert (again.model_id, again.dim) == (encoder.model_id, 1024)
     one = {r["i"]: r["embedding"] for r in encoder(texts, "s").collect()}
     two = {r["i"]: r["embedding"] for r in again(texts, "s").collect()}
     assert one == two and one[1] == one[2]
-    assert one[3] == one[4] == [0.0] * 256
+    assert one[3] == one[4] == [0.0] * 1024
 
 
 def test_model_encoder(spark):
