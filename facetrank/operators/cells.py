@@ -1,4 +1,4 @@
-"""What a task computes for one cell of products and requests."""
+"""What a task computes for one block of products and one cell of requests."""
 
 from __future__ import annotations
 
@@ -17,22 +17,14 @@ _RANKED_ARROW = pa.schema(
 )
 
 
-def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
-    """The nearest products of one cell for each of its requests, at most `limite` rows each.
+def nearest(x: np.ndarray, codes: np.ndarray, q: np.ndarray, limits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row of q: the nearest rows of x, at most its limit, and their distances; ties go to the lower code.
 
     The matrix product only preselects: whatever could be among the nearest within rounding error
-    is measured again as sqrt(sum((x - q)^2)), so equal vectors get equal distances in every cell.
+    is measured again one by one, so equal vectors get equal distances in every cell.
     """
-    if products.num_rows == 0 or requests.num_rows == 0:
-        return _RANKED_ARROW.empty_table()
-    x = matrix(products["embedding"].combine_chunks())
-    q = matrix(requests["query_vec"].combine_chunks())
-    if x.shape[1] != q.shape[1]:
-        raise ValueError(f"vectors of different length: {x.shape[1]} and {q.shape[1]}")
-    codes = products["product_code"].to_numpy()
-    limits = requests["limite"].to_numpy()
     norms = (x * x).sum(axis=1)
-    rows, ids, measured = [], [], []
+    out = []
     for start in range(0, len(q), _STRIP):
         strip = q[start:start + _STRIP]
         estimates = norms[:, None] - 2.0 * (x @ strip.T)
@@ -44,17 +36,46 @@ def nearest_in_cell(products: pa.Table, requests: pa.Table) -> pa.Table:
             near = np.flatnonzero(~(estimate > np.partition(estimate, k - 1)[k - 1] + slack))
             exact = distances(x[near], query)
             best = np.lexsort((codes[near], exact))[:k]
-            rows.append(near[best])
-            measured.append(exact[best])
-            ids.append(np.full(len(best), start + j))
-    row = np.concatenate(rows)
-    return pa.table(
-        {
-            "query_id": requests["query_id"].take(pa.array(np.concatenate(ids))),
-            "product_code": products["product_code"].take(pa.array(row)),
-            "article_id": products["article_id"].take(pa.array(row)),
-            "variantes": products["variantes"].take(pa.array(row)),
-            "distancia": np.concatenate(measured),
-        },
-        schema=_RANKED_ARROW,
-    )
+            out.append((near[best], exact[best]))
+    return out
+
+
+def nearest_in_block(products: pa.Table, requests: pa.Table) -> pa.Table:
+    """The nearest products of one block for each request of a cell, at most `limite` rows each.
+
+    A product comes once, with the keys that it is under; a request comes with the keys that it asks for. Requests for the
+    same keys are ranked together.
+    """
+    if products.num_rows == 0 or requests.num_rows == 0:
+        return _RANKED_ARROW.empty_table()
+    x = matrix(products["embedding"].combine_chunks())
+    q = matrix(requests["query_vec"].combine_chunks())
+    if x.shape[1] != q.shape[1]:
+        raise ValueError(f"vectors of different length: {x.shape[1]} and {q.shape[1]}")
+    codes = products["product_code"].to_numpy()
+    query_ids, limits = requests["query_id"].to_numpy(), requests["limite"].to_numpy()
+    under = products["under"].combine_chunks()
+    listed = under.flatten()
+    row = np.repeat(np.arange(len(under)), under.value_lengths().to_numpy(zero_copy_only=False))
+    key, article, variants = (listed.field(c).to_numpy(zero_copy_only=False) for c in ("key_id", "article_id", "variantes"))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    together: dict[tuple[int, ...], list[int]] = {}
+    for i, keys in enumerate(requests["keys"].to_pylist()):
+        together.setdefault(tuple(sorted(keys)), []).append(i)
+    found = []
+    for keys, asking in together.items():
+        bounds = [np.searchsorted(key, [k, k + 1]) for k in keys]
+        entries = np.concatenate([order[a:b] for a, b in bounds])
+        if not len(entries):
+            continue
+        # A request for several colours meets a product once per colour.
+        rows, place = np.unique(row[entries], return_inverse=True)
+        lowest = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, place, article[entries])
+        count = np.bincount(place, weights=variants[entries]).astype(np.int64)
+        for i, (best, measured) in zip(asking, nearest(x[rows], codes[rows], q[asking], limits[asking])):
+            found.append((np.full(len(best), query_ids[i]), codes[rows[best]], lowest[best], count[best], measured))
+    if not found:
+        return _RANKED_ARROW.empty_table()
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], schema=_RANKED_ARROW)

@@ -5,77 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetrank.operators.cells import RANKED, nearest_in_cell
+from facetrank.operators.cells import RANKED, nearest_in_block
 from facetrank.schema import MAX_LIMIT
+from facetrank.shared import write_once
 
-# Products and requests of one cell: bounds what a task holds in memory and computes at once.
-CELL_ROWS = 32_768
+# Products of a block and requests of a cell: bounds what a task holds in memory and computes at once.
+BLOCK_PRODUCTS = 16_384
 CELL_REQUESTS = 8_192
 
-def _cells(n: str, size: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(size))).cast("long")
 
+def _dealt(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
-def _all_cells(count: str) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+def product_rows(candidates: DataFrame, vectors: DataFrame, n_blocks: int, n_cells: int) -> DataFrame:
+    """(block, request_cell, product_code, embedding, under): each candidate's vector once for each cell of requests.
+
+    `under` lists (key_id, article_id, variantes) of the keys that the product is under: at most one entry a mask and variant.
+    """
+    listed = candidates.groupBy("product_code").agg(F.collect_list(F.struct("key_id", "article_id", "variantes")).alias("under"))
+    return listed.join(vectors.select("product_code", "embedding"), "product_code").select(
+        _dealt("product_code", n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).alias("request_cell"),
+        "product_code", "embedding", "under")
+
+
+def request_rows(candidates: DataFrame, asking: DataFrame, requests: DataFrame, n_blocks: int, n_cells: int) -> DataFrame:
+    """(block, request_cell, query_id, keys, query_vec, limite): each request once for each block that holds one of its keys."""
+    places = candidates.select("key_id", _dealt("product_code", n_blocks).alias("block")).distinct()
+    keys = asking.join(places, "key_id").groupBy("query_id", "block").agg(F.collect_list("key_id").alias("keys"))
+    return keys.join(requests.select("query_id", "query_vec", F.col("limite").cast("int").alias("limite")), "query_id").select(
+        "block", _dealt("query_id", n_cells).alias("request_cell"), "query_id", "keys", "query_vec", "limite")
 
 
 def rank_candidates(
     candidates: DataFrame,
     vectors: DataFrame,
-    keys: DataFrame,
     asking: DataFrame,
-    cell_rows: int = CELL_ROWS,
+    requests: DataFrame,
+    block_products: int = BLOCK_PRODUCTS,
     cell_requests: int = CELL_REQUESTS,
 ) -> DataFrame:
     """(query_id, rank, product_code, article_id, variantes, distancia): top `limite` per request.
 
-    candidates: (key_id, product_code, article_id, variantes); keys: (key_id, n, asking) with the number of
-    rows and of requests per key; asking: (query_id, key_id, query_vec, limite).
+    candidates: (key_id, product_code, article_id, variantes); asking: (query_id, key_id); requests: (query_id,
+    query_vec, limite).
 
-    The products under a key and the requests that ask for it are cut into cells of bounded size.
-    Each cell meets its products and requests in one task and returns only its top rows, so a key
-    shared by the whole catalog or by all requests is spread over many tasks, and pairs of request and
-    product are never stored. Any product of a request's final top is in the top of each of its
-    cells, which makes the merged result exact.
+    Products are dealt into blocks, requests into cells, by hash. A block meets a cell in one task: each vector travels
+    once for each cell of requests, whatever the number of keys the product is under, and the lists of keys travel with it. A task
+    returns only the top rows of its requests, so pairs of request and product are never stored, and a key shared by the
+    whole catalog or by all requests is spread over many tasks. Any product of a request's final top is in the top of
+    its block, which makes the merged result exact.
     """
-    grid = keys.select(
-        "key_id",
-        _cells("n", cell_rows).alias("row_cells"),
-        _cells("asking", cell_requests).alias("request_cells"),
-    )
-    products = (
-        candidates.join(grid, "key_id")
-        .join(vectors.select("product_code", "embedding"), "product_code")
-        .withColumn("row_cell", F.pmod(F.xxhash64("product_code"), F.col("row_cells")))
-        .withColumn("request_cell", F.explode(_all_cells("request_cells")))
-    )
-    requests = (
-        asking.filter("query_vec IS NOT NULL")
-        .join(grid, "key_id")
-        .withColumn("row_cell", F.explode(_all_cells("row_cells")))
-        .withColumn("request_cell", F.pmod(F.xxhash64("query_id"), F.col("request_cells")))
-    )
-    # New names keep the two sides apart: both got their key numbers from the same table.
-    cell = ["cell_key", "row_cell", "request_cell"]
-    products = products.withColumn("cell_key", F.col("key_id") + 0)
-    requests = requests.withColumn("cell_key", F.col("key_id") + 0)
-    found = (
-        products.select(*cell, "product_code", "article_id", "variantes", "embedding")
-        .groupBy(*cell)
-        .cogroup(
-            requests.select(*cell, "query_id", "query_vec", F.col("limite").cast("int").alias("limite"))
-            .groupBy(*cell)
-        )
-        .applyInArrow(nearest_in_cell, RANKED)
-    )
-    # A request for several colours meets a product once per colour.
-    merged = found.groupBy("query_id", "product_code").agg(
-        F.min("article_id").alias("article_id"),
-        F.sum("variantes").alias("variantes"),
-        F.min("distancia").alias("distancia"),
-    )
-    return keep_top(merged, asking.select("query_id", "limite").distinct(), ["distancia", "product_code"])
+    candidates = write_once(candidates, "candidates")
+    n_blocks = max(1, -(-vectors.count() // block_products))
+    n_cells = max(1, -(-requests.count() // cell_requests))
+    products = product_rows(candidates, vectors, n_blocks, n_cells)
+    wanted = request_rows(candidates, asking, requests, n_blocks, n_cells)
+    cell = ["block", "request_cell"]
+    found = products.groupBy(*cell).cogroup(wanted.groupBy(*cell)).applyInArrow(nearest_in_block, RANKED)
+    return keep_top(found, requests.select("query_id", "limite"), ["distancia", "product_code"])
 
 
 def keep_top(rows: DataFrame, limits: DataFrame, order: list[str]) -> DataFrame:

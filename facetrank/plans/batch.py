@@ -84,8 +84,7 @@ def search_batch(
     matches = write_once(relaxed_keys(requests, groups), "matches")
     keys = number_keys(matches)
     asking = matches.join(keys.select("key_id", *KEY), KEY).select("query_id", "key_id")
-    asking = asking.join(requests.select("query_id", "query_vec", "limite"), "query_id")
-    ranked = rank_candidates(candidates(groups, keys), vectors, keys, asking)
+    ranked = rank_candidates(candidates(groups, keys), vectors, asking, requests)
     return Answers(
         apply_relaxation(requests, matches),
         with_article_columns(ranked, catalog, small=False).select("query_id", "rank", *RANKED_RESULT),

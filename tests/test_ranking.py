@@ -3,9 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from facetrank.operators.cells import nearest_in_cell
+from facetrank.operators.cells import nearest, nearest_in_block
 from facetrank.operators.facet_keys import KEY, candidates, number_keys, variant_groups
-from facetrank.operators.ranking import rank_candidates
+from facetrank.operators.ranking import product_rows, rank_candidates, request_rows
 from facetrank.operators.relax import relaxed_keys
 from facetrank.plans.batch import search_batch
 from facetrank.plans.reports import envelopes, filter_report
@@ -14,7 +14,7 @@ from facetrank.schema import VECTOR_SCHEMA, Filters
 from facetrank.sources import tables as store
 from pyspark.sql import functions as F
 
-AXES = {100: [1.0, 0.0, 0.0], 200: [0.0, 1.0, 0.0], 300: [0.0, 0.0, 1.0], 400: [0.6, 0.8, 0.0]}
+AXES = {15: [1.0, 0.0, 0.0], 27: [0.0, 1.0, 0.0], 38: [0.6, 0.8, 0.0], 46: [0.0, 0.0, 1.0]}
 
 
 @pytest.fixture(scope="module")
@@ -27,24 +27,24 @@ def codes(df):
 
 
 def test_filter_beats_similarity(four, vectors):
-    found = hybrid_search(four, vectors, Filters(publico="Baby/Children"), [1.0, 0.0, 0.0])
-    assert codes(found) == [300]
+    found = hybrid_search(four, vectors, Filters(publico="Divided"), [1.0, 0.0, 0.0])
+    assert codes(found) == [46]
     assert tuple(found.columns) == RANKED_RESULT
 
 
 def test_survivors_are_ordered_by_distance(four, vectors):
     rows = hybrid_search(four, vectors, Filters(), [1.0, 0.0, 0.0]).collect()
-    assert [r["product_code"] for r in rows] == [100, 400, 200, 300]
+    assert [r["product_code"] for r in rows] == [15, 38, 27, 46]
     assert [r["distancia"] for r in rows] == pytest.approx([0.0, 0.8**0.5, 2**0.5, 2**0.5])
 
 
 def test_ranking_comes_after_the_filter(four, vectors):
-    assert codes(hybrid_search(four, vectors, Filters(publico="Ladieswear"), [1.0, 0.0, 0.0], limit=1)) == [400]
+    assert codes(hybrid_search(four, vectors, Filters(publico="Menswear"), [1.0, 0.0, 0.0], limit=1)) == [38]
 
 
 def test_product_without_vector_drops_out(four, vectors):
-    some = vectors.filter("product_code <> 400")
-    assert codes(hybrid_search(four, some, Filters(publico="Ladieswear"), [1.0, 0.0, 0.0])) == [200]
+    some = vectors.filter("product_code <> 38")
+    assert codes(hybrid_search(four, some, Filters(publico="Menswear"), [1.0, 0.0, 0.0])) == [27]
 
 
 def test_limits(four, vectors):
@@ -69,51 +69,60 @@ def test_texts_are_scanned_for_the_winners_only(spark, four, vectors, plan_of, t
     catalog = store.read_catalog(spark, str(tmp_path / "catalog"))
     found = hybrid_search(catalog, vectors, Filters(tono="Light"), [1.0, 0.0, 0.0], limit=1)
     plan = plan_of(found)
-    assert "EqualTo(perceived_colour_value_name,Light)" in plan and "EqualTo(article_id,200000)" in plan
-    assert codes(found) == [200]
+    assert "EqualTo(perceived_colour_value_name,Light)" in plan and "EqualTo(article_id,387)" in plan
+    assert codes(found) == [38]
     plan = plan_of(nearest_products(catalog, vectors, [1.0, 0.0, 0.0], limit=2))
-    assert "In(product_code, [100,400])" in plan and "In(article_id, [100000,400000])" in plan
-    assert codes(hybrid_search(catalog, vectors, Filters(publico="Sport"), [1.0, 0.0, 0.0])) == []
+    assert "In(product_code, [15,38])" in plan and "In(article_id, [157,387])" in plan
+    assert codes(hybrid_search(catalog, vectors, Filters(publico="Ladieswear"), [1.0, 0.0, 0.0])) == []
 
 
 def test_nearest_products_count_all_variants(articles, vectors):
     catalog = articles(
-        {"article_id": 7, "product_code": 400}, {"article_id": 3, "product_code": 400},
-        {"article_id": 9, "product_code": 100},
+        {"article_id": 7, "product_code": 38}, {"article_id": 3, "product_code": 38},
+        {"article_id": 9, "product_code": 15},
     )
     rows = nearest_products(catalog, vectors, [0.6, 0.8, 0.0], limit=3).collect()
-    # 200 is the second neighbour but has no article, and is not replaced by another one.
-    assert [(r["product_code"], r["article_id"], r["variantes"]) for r in rows] == [(400, 3, 2), (100, 9, 1)]
+    # 27 is the second neighbour but has no article, and is not replaced by another one.
+    assert [(r["product_code"], r["article_id"], r["variantes"]) for r in rows] == [(38, 3, 2), (15, 9, 1)]
     assert rows[0]["distancia"] == pytest.approx(0.0, abs=1e-6)
 
 
 def test_vectors_of_different_length_fail_the_batch(spark, four, vectors, requests):
     longer = vectors.union(spark.createDataFrame([(500, [1.0] * 4)], VECTOR_SCHEMA))
-    mixed = longer.withColumn("product_code", F.when(F.col("product_code") == 500, 100).otherwise(F.col("product_code")))
+    mixed = longer.withColumn("product_code", F.when(F.col("product_code") == 500, 15).otherwise(F.col("product_code")))
     for table, query in ((vectors, [1.0, 0.0]), (mixed, [1.0, 0.0, 0.0])):
         with pytest.raises(Exception, match="vectors of different length"):
             search_batch(four, table, requests({"query_vec": query})).results.collect()
 
 
-def test_cell_with_nan_duplicates_and_ties():
-    x = np.array([[1.0, 0.0], [np.nan, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0]], dtype=np.float32)
+def test_block_with_nan_duplicates_and_ties():
+    x = np.array([[1.0, 0.0], [np.nan, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0]])
+    codes, q = np.array([5, 1, 4, 2, 3]), np.array([[1.0, 0.0], [0.0, 1.0]])
+    first, second = nearest(x, codes, q, np.array([3, 100]))
+    assert codes[first[0]].tolist() == [2, 5, 3]
+    assert codes[second[0]].tolist() == [3, 4, 2, 5, 1]
+
+
+def test_block_merges_keys_and_takes_empty_sides():
+    entry = pa.struct([("key_id", pa.int64()), ("article_id", pa.int64()), ("variantes", pa.int64())])
     products = pa.table({
-        "product_code": [5, 1, 4, 2, 3], "article_id": [50, 10, 40, 20, 30], "variantes": [1, 1, 1, 1, 1],
-        "embedding": pa.array(x.tolist(), pa.list_(pa.float32())),
+        "product_code": [8, 9], "embedding": pa.array([[1.0, 0.0], [0.0, 1.0]], pa.list_(pa.float32())),
+        "under": pa.array([[{"key_id": 1, "article_id": 84, "variantes": 2}, {"key_id": 7, "article_id": 81, "variantes": 3}],
+                           [{"key_id": 7, "article_id": 90, "variantes": 1}]], pa.list_(entry)),
     })
-    asked = pa.table({
-        "query_id": [7, 8], "limite": pa.array([3, 100], pa.int32()),
-        "query_vec": pa.array([[1.0, 0.0], [0.0, 1.0]], pa.list_(pa.float32())),
+    requests = pa.table({
+        "query_id": [1, 2, 3], "keys": pa.array([[7, 1], [1], [5]], pa.list_(pa.int64())), "limite": pa.array([9, 9, 9], pa.int32()),
+        "query_vec": pa.array([[0.0, 1.0]] * 3, pa.list_(pa.float32())),
     })
-    found = nearest_in_cell(products, asked).to_pandas()
-    assert found[found.query_id == 7].product_code.tolist() == [2, 5, 3]
-    assert found[found.query_id == 8].product_code.tolist() == [3, 4, 2, 5, 1]
-    assert nearest_in_cell(products.slice(0, 0), asked).num_rows == 0
+    rows = [tuple(r.values())[:4] for r in nearest_in_block(products, requests).to_pylist()]
+    assert rows == [(1, 9, 90, 1), (1, 8, 81, 5), (2, 8, 84, 2)]
+    assert nearest_in_block(products.slice(0, 0), requests).num_rows == 0
+    assert nearest_in_block(products, requests.slice(2)).num_rows == 0
 
 
 def test_batch_equals_single_requests(four, vectors, requests):
     asked = [
-        {}, {"publico": "Ladieswear"}, {"colores": ["Blue", "White"], "limite": 2}, {"colores_excluidos": ["Red"]},
+        {}, {"publico": "Menswear"}, {"colores": ["Grey", "Yellow"], "limite": 2}, {"colores_excluidos": ["Pink"]},
     ]
     rows = [{**a, "query_vec": v} for a in asked for v in ([1.0, 0.0, 0.0], [0.0, 0.6, 0.8])]
     got = search_batch(four, vectors, requests(*rows)).results.collect()
@@ -128,7 +137,7 @@ def test_batch_equals_single_requests(four, vectors, requests):
 def test_stored_groups_can_be_passed_in(four, vectors, requests):
     asked = requests({"query_vec": [1.0, 0.0, 0.0]})
     found = search_batch(four, vectors, asked, groups=variant_groups(four)).results
-    assert [r["product_code"] for r in found.orderBy("rank").collect()] == [100, 400, 200, 300]
+    assert [r["product_code"] for r in found.orderBy("rank").collect()] == [15, 38, 27, 46]
 
 
 def test_limit_out_of_bounds_fails_the_batch(four, vectors, requests):
@@ -160,8 +169,12 @@ def test_any_cell_size_gives_the_exact_answer(spark, articles, requests, cell_ro
     matches = relaxed_keys(table, groups)
     keys = number_keys(matches)
     asking = matches.join(keys.select("key_id", *KEY), KEY).select("query_id", "key_id")
-    asking = asking.join(table.select("query_id", "query_vec", "limite"), "query_id")
-    got = rank_candidates(candidates(groups, keys), stored, keys, asking, cell_rows, cell_requests).collect()
+    found = candidates(groups, keys)
+    got = rank_candidates(found, stored, asking, table, cell_rows, cell_requests).collect()
+    # A vector travels once for each cell of requests, and a request once for each block that it needs.
+    assert product_rows(found, stored, 3, 4).count() == 4 * found.select("product_code").distinct().count()
+    sent = request_rows(found, asking, table, 3, 4)
+    assert sent.count() == sent.select("query_id", "block").distinct().count() <= 3 * len(asked)
     for j, request in enumerate(asked, 1):
         expected = {}
         for r in rows:
@@ -191,9 +204,9 @@ def test_batch_plan_has_no_pairs_and_cuts_before_the_shuffle(spark, plan_of):
 
 def test_envelope(four, vectors, requests):
     asked = requests(
-        {"frase": "chaqueta de lentejuelas", "publico": "Menswear", "estampado": "Sequin", "query_vec": [1.0, 0.0, 0.0]},
-        {"frase": "un vestido", "publico": "Ladieswear", "query_vec": [0.0, 1.0, 0.0], "limite": 1},
-        {"frase": "nada", "colores_excluidos": ["Red", "Blue", "White"], "query_vec": [0.0, 1.0, 0.0]},
+        {"frase": "chaqueta de lentejuelas", "publico": "Sport", "estampado": "Sequin", "query_vec": [1.0, 0.0, 0.0]},
+        {"frase": "un vestido", "publico": "Menswear", "query_vec": [0.0, 1.0, 0.0], "limite": 1},
+        {"frase": "nada", "colores_excluidos": ["Pink", "Grey", "Yellow", "Green"], "query_vec": [0.0, 1.0, 0.0]},
     )
     answers = search_batch(four, vectors, asked)
     one, two, three = envelopes(answers).orderBy("query_id").collect()
@@ -203,18 +216,18 @@ def test_envelope(four, vectors, requests):
     assert (one["frase"], one["total"], one["filtros_relajados"]) == ("chaqueta de lentejuelas", 1, ["estampado"])
     assert (one["filtros_pedidos"]["estampado"], one["filtros_aplicados"]["estampado"]) == ("Sequin", None)
     # The total counts rows returned, after the limit.
-    assert (two["total"], [r["product_code"] for r in two["resultados"]]) == (1, [200])
+    assert (two["total"], [r["product_code"] for r in two["resultados"]]) == (1, [27])
     assert (three["total"], three["resultados"]) == (0, [])
 
 
 def test_filter_report(four, vectors, requests):
     asked = requests(
-        {"publico": "Menswear", "categoria": "Swimwear", "colores": ["Metal", "Red"], "estampado": "Lace",
+        {"publico": "Menswear", "categoria": "Nightwear", "colores": ["Metal", "Red"], "estampado": "Lace",
          "query_vec": [1.0, 0.0, 0.0]},
         {"query_vec": [1.0, 0.0, 0.0]},
     )
     rows = filter_report(search_batch(four, vectors, asked).requests).orderBy("query_id", "pos").collect()
     assert [tuple(r)[2:] for r in rows] == [
-        ("publico", "Menswear", False), ("categoria", "Swimwear", True), ("colores", "Metal, Red", True),
+        ("publico", "Menswear", False), ("categoria", "Nightwear", True), ("colores", "Metal, Red", True),
         ("estampado", "Lace", True),
     ]
