@@ -46,6 +46,19 @@ def variant_groups(articles: DataFrame) -> DataFrame:
     )
 
 
+def refresh_groups(groups: DataFrame, before: DataFrame, after: DataFrame, batch: DataFrame) -> DataFrame:
+    """`variant_groups(after)` from those of `before`, where `after` is `before` with the rows of `batch` put over it.
+
+    Only products that the batch touches are grouped again: those of its rows, and those that its articles belonged to
+    before (a lowest article can't be taken out of a minimum). The other groups are kept as they are.
+    """
+    moved = before.join(batch.select("article_id"), "article_id", "left_semi").select("product_code")
+    touched = batch.select("product_code").unionByName(moved).distinct()
+    kept = groups.join(touched, "product_code", "left_anti")
+    anew = variant_groups(after.join(touched, "product_code", "left_semi"))
+    return kept.unionByName(anew.select(*kept.columns))
+
+
 def _keys_of_tuples(tuples: DataFrame, masks: DataFrame) -> DataFrame:
     """Each facet combination under every mask in use, leaving out masks over a null facet."""
     null_bits = reduce(

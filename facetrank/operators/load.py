@@ -20,17 +20,22 @@ def clean(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
     return rows.filter(_in_whitelist(categories)).dropna(subset=["detail_desc"])
 
 
-def load_report(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """One row: rows read, rows discarded by reason, rows that go on to the upsert."""
+def figures(categories: Sequence[str]) -> list[Column]:
+    """Rows read, rows discarded by reason, rows that go on to the upsert; as aggregates."""
     known = _in_whitelist(categories)
     described = F.col("detail_desc").isNotNull()
-    return rows.agg(
+    return [
         F.count("*").alias("leidas"),
         F.count_if(~known).alias("fuera_de_lista"),
         F.count_if(known & ~described).alias("sin_descripcion"),
         F.count_if(~(known & described)).alias("descartadas"),
         F.count_if(known & described).alias("insertadas"),
-    )
+    ]
+
+
+def load_report(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """One row of `figures`."""
+    return rows.agg(*figures(categories))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:

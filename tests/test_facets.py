@@ -13,34 +13,33 @@ def codes(df):
 
 
 def test_no_filter_keeps_every_row(variants):
-    assert variants.filter(facet_predicate(Filters())).count() == 5
+    assert variants.filter(facet_predicate(Filters())).count() == 6
 
 
 def test_variants_are_one_result(variants):
     rows = facet_search(variants, Filters()).collect()
-    assert [r["product_code"] for r in rows] == [100, 200, 300]
-    assert [r["variantes"] for r in rows] == [3, 1, 1]
+    assert [r["product_code"] for r in rows] == [70, 80, 90]
+    assert [r["variantes"] for r in rows] == [4, 1, 1]
 
 
 def test_columns_come_from_the_representative(variants):
     row = facet_search(variants, Filters()).first()
-    assert (row["article_id"], row["perceived_colour_master_name"]) == (1, "Blue")
+    assert (row["article_id"], row["perceived_colour_master_name"]) == (11, "Green")
     assert tuple(row.asDict()) == FACET_RESULT
 
 
 def test_representative_and_count_are_of_the_survivors(variants):
-    row = facet_search(variants, Filters(colores=("Red", "Black"), publico="Menswear")).first()
-    assert (row["article_id"], row["perceived_colour_master_name"], row["variantes"]) == (2, "Black", 2)
+    row = facet_search(variants, Filters(colores=("Grey", "Pink"), publico="Divided")).first()
+    assert (row["article_id"], row["perceived_colour_master_name"], row["variantes"]) == (12, "Pink", 3)
 
 
 @pytest.mark.parametrize("filters, expected", [
-    (Filters(publico="Baby/Children"), [300]),
-    (Filters(colores=("Red", "Black")), [100, 200]),
-    (Filters(colores_excluidos=("Red",)), [100, 300]),
-    (Filters(publico="Ladieswear", categoria="Garment Full body", colores=("Red",), tono="Light",
-             estampado="Stripe"), [200]),
-    (Filters(publico="Sport", colores=("Metal",)), []),
-    (Filters(colores=("Red",), colores_excluidos=("Red",)), []),
+    (Filters(publico="Ladieswear"), [90]),
+    (Filters(colores=("Grey", "Pink")), [70, 80]),
+    (Filters(colores_excluidos=("Grey",)), [70, 90]),
+    (Filters(publico="Sport", categoria="Shoes", colores=("Grey", "White"), tono="Dark", estampado="Mesh"), [80]),
+    (Filters(publico="Divided", categoria="Shoes"), []),
+    (Filters(colores=("Grey",), colores_excluidos=("Grey",)), []),
 ])
 def test_filters(variants, filters, expected):
     assert codes(facet_search(variants, filters)) == expected
@@ -57,7 +56,7 @@ def test_excluding_a_colour_drops_rows_without_colour(articles):
 
 
 def test_limit(variants):
-    assert codes(facet_search(variants, Filters(), limit=2)) == [100, 200]
+    assert codes(facet_search(variants, Filters(), limit=2)) == [70, 80]
     for limit in (0, 101):
         with pytest.raises(ValueError):
             facet_search(variants, Filters(), limit=limit)
@@ -79,9 +78,9 @@ def test_predicates_and_columns_reach_the_scan(spark, variants, plan_of, tmp_pat
 
 def test_batch_equals_single_requests(variants, requests):
     asked = [
-        {}, {"publico": "Baby/Children"}, {"colores": ["Red", "Black"]}, {"colores_excluidos": ["Red"]},
-        {"publico": "Sport"}, {"colores": ["Red", "Blue"], "colores_excluidos": ["Blue"]}, {"limite": 2},
-        {"tono": "Light", "estampado": "Stripe"},
+        {}, {"publico": "Ladieswear"}, {"colores": ["Grey", "Pink"]}, {"colores_excluidos": ["Grey"]},
+        {"publico": "Menswear"}, {"colores": ["Grey", "Green"], "colores_excluidos": ["Green"]}, {"limite": 2},
+        {"tono": "Dark", "estampado": "Mesh"},
     ]
     got = facet_search_batch(variants, requests(*asked)).collect()
     for i, fields in enumerate(asked, 1):
@@ -93,10 +92,10 @@ def test_batch_equals_single_requests(variants, requests):
 
 
 def test_facet_envelope_has_no_semantic_text(variants, requests):
-    asked = requests({"publico": "Baby/Children"}, {"publico": "Sport"})
+    asked = requests({"publico": "Ladieswear"}, {"publico": "Menswear"})
     rows = {r["query_id"]: r for r in facet_envelopes(asked, facet_search_batch(variants, asked)).collect()}
     assert (rows[1]["total"], rows[2]["total"], rows[2]["resultados"]) == (1, 0, [])
-    assert rows[1]["resultados"][0]["product_code"] == 300
+    assert rows[1]["resultados"][0]["product_code"] == 90
     assert "consulta_semantica" not in rows[1]["filtros_aplicados"].asDict()
 
 

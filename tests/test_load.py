@@ -1,9 +1,11 @@
 """CSV scan, cleaning, upsert, load figures, stored tables, profile."""
 
 import csv
+import random
 
 import pytest
-from facetrank.operators import load, profile
+from facetrank.operators import facet_keys, load, profile
+from facetrank.plans.load import load_catalog
 from facetrank.schema import CATALOG_COLUMNS, CATEGORIA
 from facetrank.sources import tables as store
 from facetrank.sources.csv import NA_TOKENS, read_catalog_csv, write_catalog_csv
@@ -117,8 +119,8 @@ def test_hot_key_is_cut_before_the_shuffle(articles, plan_of):
 
 def test_facet_distribution(raw):
     rows = [tuple(r) for r in load.facet_distribution(raw).collect()]
-    assert rows[0] == ("categoria", "Garment Upper body", 2)
-    assert rows[-1] == ("publico", "Menswear", 6)
+    assert rows[0] == ("categoria", "Accessories", 2)
+    assert rows[-1] == ("publico", "Divided", 6)
     assert [r[2] for r in rows if r[0] == "categoria"] == [2, 1, 1, 1, 1]
 
 
@@ -191,3 +193,37 @@ def test_first_rows_cut_at_any_place_equal_the_sorted_ones(spark, tmp_path):
         first = read_catalog_csv(spark, str(tmp_path), limit=limit)
         assert sorted(r["article_id"] for r in first.collect()) == list(range(min(limit, 9)))
         assert "TakeOrdered" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_load_reads_its_input_once(spark, raw, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = raw.withColumn("seq", F.col("article_id")).mapInArrow(counted, raw.withColumn("seq", F.col("article_id")).schema)
+    report = load_catalog(rows, CATEGORIA, str(tmp_path / "v1")).first().asDict()
+    assert read.value == 6
+    assert report == {
+        "leidas": 6, "fuera_de_lista": 4, "sin_descripcion": 1, "descartadas": 5, "insertadas": 1,
+        "filas": 1, "productos": 1, "variantes_extra": 0,
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_refreshed_groups_equal_a_rebuild(articles, seed):
+    """Random batches: new articles, changed facets, articles that move to another product."""
+    rng = random.Random(seed)
+
+    def rows(ids):
+        return [{"article_id": i, "product_code": rng.randrange(12), "perceived_colour_master_name": rng.choice(["Red", "Pink", None]),
+                 "graphical_appearance_name": rng.choice(["Dot", "Lace"])} for i in ids]
+
+    before = articles(*rows(range(60)))
+    batch = articles(*rows(rng.sample(range(80), 9))).withColumn("seq", F.col("article_id"))
+    after = load.upsert(before, batch)
+    fresh = facet_keys.refresh_groups(facet_keys.variant_groups(before), before, after, batch)
+    want = facet_keys.variant_groups(after)
+    assert sorted(map(str, fresh.select(want.columns).collect())) == sorted(map(str, want.collect()))

@@ -48,9 +48,9 @@ _NEED = """greatest(
     CASE WHEN r.publico IS NULL OR coalesce(a.index_group_name = r.publico, false) THEN 0 ELSE 5 END)"""
 
 
-def _relaxed(requests: str) -> str:
+def _relaxed(requests: str, tables: str = _WITH) -> str:
     return f"""
-{_WITH}, requests AS ({requests}),
+{tables}, requests AS ({requests}),
 pairs AS (
   SELECT r.query_id, a.product_code, a.article_id, {_NEED} AS need
   FROM requests r JOIN articles a
@@ -75,14 +75,16 @@ relaxed AS (
   FROM requests r JOIN levels USING (query_id))"""
 
 
-def _ranked(requests: str) -> str:
+def _ranked(requests: str, tables: str = _WITH) -> str:
     return f"""
-{_relaxed(requests)}, products AS (
+{_relaxed(requests, tables)}, products AS (
   SELECT query_id, product_code, min(article_id) AS article_id, count(*) AS variantes
   FROM pairs JOIN levels USING (query_id) WHERE need <= lv GROUP BY query_id, product_code),
+given AS MATERIALIZED (SELECT product_code, CAST(embedding AS DOUBLE[]) AS e FROM vectors),
+asking AS MATERIALIZED (SELECT query_id, CAST(query_vec AS DOUBLE[]) AS e FROM requests),
 distances AS (
-  SELECT p.*, {_distance("v.embedding", "r.query_vec")} AS d
-  FROM products p JOIN vectors v USING (product_code) JOIN requests r USING (query_id)),
+  SELECT p.*, list_distance(v.e, r.e) AS d
+  FROM products p JOIN given v USING (product_code) JOIN asking r USING (query_id)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, product_code) AS rank FROM distances),
 results AS (
@@ -208,6 +210,41 @@ SELECT f.query_id, f.publico, f.categoria, f.colores, f.colores_excluidos, f.ton
        e.embedding AS query_vec, 3 AS limite
 FROM fields f JOIN (SELECT *, count(*) OVER () AS vectors FROM embeddings) e ON e.vec_id = f.query_id % e.vectors"""
 
+
+
+def _encoded(name: str, texts: str, fitted: str) -> str:
+    """Tables `name` (id, embedding) of the (id, texto) in `texts`, by the weights of a fit on those in `fitted`."""
+    def hashed(table: str, source: str) -> str:
+        return f"""
+{table} AS (
+  SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % {t.DIM} AS b,
+    CASE WHEN CAST('0x' || substr(md5(word), 9, 1) AS BIGINT) % 2 = 1 THEN -1 ELSE 1 END AS s
+  FROM (SELECT id, unnest(regexp_extract_all(lower(texto), '[\\p{{L}}\\p{{N}}]+')) AS word FROM {source}))"""
+
+    return f"""{hashed(f"{name}_fit", fitted)}, {hashed(f"{name}_words", texts)},
+{name}_weights AS (
+  SELECT g.b, ln(CAST((SELECT count(*) FROM {fitted}) + 1 AS DOUBLE) / (coalesce(f.m, 0) + 1)) AS w
+  FROM range({t.DIM}) g(b) LEFT JOIN (SELECT b, count(DISTINCT id) AS m FROM {name}_fit GROUP BY b) f ON f.b = g.b),
+{name}_sums AS (SELECT id, b, sum(s) AS s FROM {name}_words GROUP BY id, b),
+{name}_raw AS (
+  SELECT x.id, list(coalesce(s.s, 0) * w.w ORDER BY w.b) AS v
+  FROM {texts} x CROSS JOIN {name}_weights w LEFT JOIN {name}_sums s ON s.id = x.id AND s.b = w.b GROUP BY x.id),
+{name}_norms AS (SELECT id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12) AS n FROM {name}_raw),
+{name} AS (SELECT id, CAST(list_transform(v, lambda x: x / n) AS FLOAT[]) AS embedding FROM {name}_norms)"""
+
+
+_PRODUCT_TEXTS = f"""
+picked AS (SELECT min(article_id) AS article_id FROM articles GROUP BY product_code),
+texts AS (SELECT product_code AS id, {_TEXTO} AS texto FROM articles JOIN picked USING (article_id))"""
+
+_PHRASES = f"""
+WITH articles AS (SELECT * FROM ({_ARTICLES}) WHERE {_CLEAN}), {_PRODUCT_TEXTS}, {_VALIDATED},
+said AS (SELECT query_id AS id, consulta_semantica AS texto FROM fields),
+{_encoded("indexed", "texts", "texts")}, {_encoded("asked", "said", "texts")},
+vectors AS (SELECT id AS product_code, embedding FROM indexed)"""
+
+_PHRASE_REQUESTS = "SELECT f.*, a.embedding AS query_vec, 5 AS limite FROM fields f JOIN asked a ON a.id = f.query_id"
+
 _INDEX_HALF = f"SELECT DISTINCT product_code FROM ({t.sql_text(t.FIRST_LOAD)})"
 
 CHECKS = {
@@ -356,12 +393,30 @@ SELECT product_code, {_TEXTO} AS texto FROM articles JOIN picked USING (article_
     "pending_products": f"""
 {_WITH} SELECT product_code, min(article_id) AS article_id FROM articles
 WHERE product_code NOT IN (SELECT vec_id FROM embeddings WHERE label <> 0) GROUP BY product_code""",
-    # The buckets of the hashed words are not expressible in SQL: products, counts and unit length are checked.
     "index_build": f"""
 {_WITH}, n AS (
-  SELECT (SELECT count(*) FROM ({_INDEX_HALF})) AS primera, count(DISTINCT product_code) AS total FROM articles)
-SELECT DISTINCT a.product_code, 64 AS dim, 1.0 AS norma, n.primera, n.total - n.primera AS segunda,
-  0 AS tercera, n.total FROM articles a, n""",
+  SELECT (SELECT count(*) FROM ({_INDEX_HALF})) AS primera, count(DISTINCT product_code) AS total FROM articles),
+{_PRODUCT_TEXTS}, {_encoded("indexed", "texts", "texts")}
+SELECT v.id AS product_code, 64 AS dim, 1.0 AS norma, n.primera, n.total - n.primera AS segunda,
+  array_to_string(list_transform(v.embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT)), ',') AS valores,
+  0 AS tercera, n.total FROM indexed v, n""",
+    "groups_refreshed": f"""
+WITH stored AS ({t.sql_text(t.FIRST_LOAD)}), batch AS ({t.sql_text(t.SECOND_LOAD)}),
+every AS (SELECT *, -1 AS seq FROM stored UNION ALL SELECT * FROM batch),
+last AS (SELECT article_id, max(seq) AS seq FROM every GROUP BY article_id)
+SELECT product_code, graphical_appearance_name, perceived_colour_value_name, perceived_colour_master_name,
+  product_group_name, index_group_name, min(article_id) AS article_id, count(*) AS variantes
+FROM every JOIN last USING (article_id, seq)
+GROUP BY product_code, graphical_appearance_name, perceived_colour_value_name, perceived_colour_master_name,
+  product_group_name, index_group_name""",
+    "phrase_search": f"""{_ranked(_PHRASE_REQUESTS, _PHRASES)}
+SELECT query_id, rank, product_code, article_id, variantes, distancia FROM results""",
+    "phrase_envelopes": f"""{_ranked(_PHRASE_REQUESTS, _PHRASES)}, lists AS (
+  SELECT query_id, count(*) AS total, string_agg(CAST(product_code AS VARCHAR), ',' ORDER BY rank) AS productos
+  FROM results GROUP BY query_id)
+SELECT query_id, frase, coalesce(total, 0) AS total, array_to_string(dropped, ', ') AS filtros_relajados,
+  coalesce(productos, '') AS productos
+FROM relaxed LEFT JOIN lists USING (query_id)""",
     "validate_answers": f"""
 WITH {_VALIDATED}
 SELECT query_id, frase, publico, categoria, array_to_string(colores, '|') AS colores,

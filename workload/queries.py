@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetrank.functions import text, vectors as vec
-from facetrank.operators import answers, encoder, load, profile, relax
+from facetrank.operators import answers, encoder, facet_keys, load, profile, relax
 from facetrank.plans import batch, index, phrase, reports, search
 from facetrank.plans import load as load_plan
 from facetrank.schema import CATALOG_COLUMNS, FILTER_FIELDS, HARD_FIELDS, Filters
@@ -158,6 +158,13 @@ def upsert_last_wins(spark, sf):
     return load.upsert(t.view(spark, sf, t.FIRST_LOAD), t.view(spark, sf, t.SECOND_LOAD))
 
 
+def groups_refreshed(spark, sf):
+    """Variant groups of the first load, brought up to date for the second one."""
+    first, second = t.view(spark, sf, t.FIRST_LOAD), t.view(spark, sf, t.SECOND_LOAD)
+    after = load.upsert(first, second)
+    return facet_keys.refresh_groups(facet_keys.variant_groups(first), first, after, second)
+
+
 def catalog_checked(spark, sf):
     """Write a version of the catalog, read it back, and look for repeated keys."""
     path = scratch_path(spark, "catalog")
@@ -263,6 +270,7 @@ def index_build(spark, sf):
     return store.read_vectors(spark, path, model.model_id).select(
         "product_code",
         F.size("embedding").alias("dim"),
+        F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("long").cast("string")), ",").alias("valores"),
         F.round(vec.l2_norm(F.col("embedding")), 4).alias("norma"),
         F.lit(first.indexados).alias("primera"),
         F.lit(second.indexados).alias("segunda"),
@@ -320,7 +328,7 @@ QUERIES = {
         hybrid_search, facet_search, facet_in_notin, facet_count, knn_global,
         strict_requests, facet_batch, facet_envelopes, relax_batch, hybrid_batch, search_envelopes,
         filter_report, filters_as_json,
-        catalog_clean, catalog_from_csv, catalog_first_rows, load_catalog, upsert_last_wins, catalog_checked, vectors_stored,
+        catalog_clean, catalog_from_csv, catalog_first_rows, load_catalog, upsert_last_wins, groups_refreshed, catalog_checked, vectors_stored,
         tables_ready, catalog_totals, facet_distribution, load_report,
         column_profile, value_counts, text_nulls, text_sample,
         masked_mean_pool, l2_normalize,
