@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetrank.schema import CATALOG_SCHEMA
+from facetrank.sources.csv_rows import csv_rows
 
 # Cell texts that count as missing.
 NA_TOKENS = (
@@ -18,24 +19,34 @@ def missing_as_null(col: Column) -> Column:
     return F.when(~col.isin(list(NA_TOKENS)), col)
 
 
-def read_catalog_csv(spark: SparkSession, path, limit: int = 0, multiline: bool = True) -> DataFrame:
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def read_catalog_csv(spark: SparkSession, path, limit: int = 0, multiline: bool = True, split: bool = True) -> DataFrame:
     """The ten catalog columns, by header name, plus `seq`, the position of the row in the input.
 
-    `limit` > 0 keeps the first rows in file order (files in path order, see `first_rows`). Quoted line breaks need
-    `multiline`, which reads each file in one task: store a large catalog as many files, or set it
-    to False if no cell holds a line break, and Spark splits the files.
+    `limit` > 0 keeps the first rows in file order (files in path order, see `first_rows`). Files are read in blocks by many tasks,
+    also where quoted cells hold line breaks: see `csv_rows`, which reads the input here and now to find the row ends. Set
+    `multiline` to False if no cell holds a line break; that saves this step. Files with bare quotes inside cells that are not
+    quoted are refused; `split=False` takes them, each file in one task.
     """
-    raw = spark.read.csv(
-        path, header=True, multiLine=multiline, escape='"', inferSchema=False, encoding="UTF-8"
-    )
-    columns = [missing_as_null(F.col(f.name)).cast(f.dataType).alias(f.name) for f in CATALOG_SCHEMA]
-    # Rows of one file block are read in order by one task, so the running id orders them within it.
-    seq = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    ).alias("seq")
-    rows = raw.select(*columns, seq)
+    options = {"escape": '"', "encoding": "UTF-8"}
+    raw = spark.read.csv(path, header=True, multiLine=multiline, inferSchema=False, **options)
+    if multiline and split:
+        cells = ", ".join(f"{_quoted(name)} string" for name in raw.columns)
+        rows = csv_rows(spark, path).withColumn("cells", F.from_csv("record", cells, {**options, "multiLine": "true"}))
+        source, seq = "cells.", F.struct("file", "block", "row")
+    else:
+        # Rows of one file block are read in order by one task, so the running id orders them within it.
+        rows, source = raw, ""
+        seq = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+    columns = [missing_as_null(F.col(source + f.name)).cast(f.dataType).alias(f.name) for f in CATALOG_SCHEMA]
+    rows = rows.select(*columns, seq.alias("seq"))
     return first_rows(rows, limit) if limit > 0 else rows
 
 
