@@ -17,7 +17,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from facetrank.operators.facet_keys import variant_groups  # noqa: E402
+from facetrank.operators.versions import tagged_groups  # noqa: E402
 from facetrank.plans import batch, search  # noqa: E402
 from facetrank.shared import scratch_path  # noqa: E402
 from facetrank.sources import tables as store  # noqa: E402
@@ -50,7 +50,7 @@ class Stored:
         paths = {name: scratch_path(self.spark, name) for name in ("catalog", "groups", "vectors")}
         store.write_catalog(t.catalog(self.spark, self.sf_dir), paths["catalog"])
         self.catalog = store.read_catalog(self.spark, paths["catalog"])
-        variant_groups(self.catalog).write.parquet(paths["groups"])
+        tagged_groups(self.catalog).write.parquet(paths["groups"])
         self.groups = self.spark.read.parquet(paths["groups"])
         store.write_vectors(t.vectors(self.spark, self.sf_dir), paths["vectors"], t.DIM, "given")
         self.vectors = store.read_vectors(self.spark, paths["vectors"], "given")

@@ -18,6 +18,7 @@ from facetrank.operators.facet_keys import (
 from facetrank.operators.products import with_article_columns
 from facetrank.operators.ranking import keep_top, rank_candidates
 from facetrank.operators.relax import apply_relaxation, relaxed_keys
+from facetrank.operators.versions import checked_groups
 from facetrank.plans.search import FACET_RESULT, RANKED_RESULT
 from facetrank.schema import DEFAULT_LIMIT, MAX_LIMIT, Vocabulary
 from facetrank.shared import write_once
@@ -74,13 +75,12 @@ def search_batch(
 ) -> Answers:
     """Relax, filter, collapse and rank every request of the table.
 
-    `groups` is `variant_groups(catalog)` if it is stored already. The catalog's facet columns are
+    `groups` is `tagged_groups(catalog)` if it is stored already; groups of another version are refused (`StaleGroups`). The catalog's facet columns are
     read once, its wide columns only for the winners. A repeated query_id, a limit out of bounds and a query_vec that is
     null, empty or not finite are errors.
     """
     requests = _checked(requests, with_vectors=True)
-    if groups is None:
-        groups = write_once(variant_groups(catalog), "groups")
+    groups = write_once(variant_groups(catalog), "groups") if groups is None else checked_groups(groups, catalog)
     matches = write_once(relaxed_keys(requests, groups), "matches")
     keys = number_keys(matches)
     asking = matches.join(keys.select("key_id", *KEY), KEY).select("query_id", "key_id")
@@ -97,11 +97,11 @@ def facet_search_batch(
     """`facet_search` for a table of requests: (query_id, rank, ...) by product code.
 
     Requests with the same facet key share its first products, so each key is cut to `MAX_LIMIT` rows
-    before it meets its requests. Nothing is relaxed. A repeated query_id and a limit out of bounds are errors.
+    before it meets its requests. Nothing is relaxed. A repeated query_id, a limit out of bounds and
+    `groups` of another version of the catalog are errors.
     """
     requests = _checked(requests, with_vectors=False)
-    if groups is None:
-        groups = write_once(variant_groups(catalog), "groups")
+    groups = write_once(variant_groups(catalog), "groups") if groups is None else checked_groups(groups, catalog)
     matches = write_once(matching_keys(request_levels(requests, relax=False), groups), "matches")
     keys = number_keys(matches)
     by_key = Window.partitionBy("key_id").orderBy("product_code")

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from facetrank.functions.text import product_text
 from facetrank.operators.products import one_per_product
+from facetrank.shared import path_exists, write_once
 from facetrank.sources.tables import check_vectors, read_vectors
 
+#: Places of the hash that deals products to commits.
+_PLACES = 1 << 32
+
 
 def pending_products(catalog: DataFrame, vectors: DataFrame | None) -> DataFrame:
     """(product_code, article_id): representative of each product that has no vector yet."""
@@ -68,14 +72,38 @@ def extend_index(catalog: DataFrame, path: str, encoder) -> IndexReport:
     return _write(embed_products(catalog, stored, encoder), path, encoder.model_id, "append")
 
 
+def build_index_in_commits(catalog: DataFrame, path: str, encoder, products_per_commit: int = 1_000_000) -> IndexReport:
+    """Add the vectors of all products that have none, with a commit for each `products_per_commit` of them, about.
+
+    `path` may be new, or hold the commits of a run that was lost: these vectors are kept and not computed again, so at most one
+    commit's work is lost. The pending texts are stored once, ranged by a hash of the product; a commit reads its range of it.
+    """
+    spark = catalog.sparkSession
+    started = path_exists(spark, path)
+    stored = read_vectors(spark, path, encoder.model_id) if started else None
+    place = F.pmod(F.xxhash64(F.lit("commit"), "product_code"), F.lit(_PLACES)).alias("place")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = Observation()
+    texts = product_texts(catalog, stored).select("*", place)
+    # Places are spread evenly, so equal ranges need no sample.
+    texts = texts.repartitionById(tasks, F.floor(F.col("place") * tasks / _PLACES).cast("int")).sortWithinPartitions("place")
+    texts = write_once(texts.observe(counted, F.count(F.lit(1)).alias("n")), "pending-texts")
+    pending = counted.get["n"]
+    commits = max(1, -(-pending // products_per_commit))
+    bounds = [k * _PLACES // commits for k in range(commits + 1)]
+    for low, high in zip(bounds, bounds[1:]):
+        part = texts.filter((F.col("place") >= low) & (F.col("place") < high))
+        encoded = encoder(part.select("product_code", "texto").repartition("product_code"), "texto")
+        _append(check_vectors(encoded.select("product_code", "embedding"), encoder.dim), path, encoder.model_id, "append")
+    return IndexReport(pending, read_vectors(spark, path, encoder.model_id).count())
+
+
 def _write(new: DataFrame, path: str, model_id: str, mode: str) -> IndexReport:
     written = Observation()
-    (
-        new.observe(written, F.count(F.lit(1)).alias("n"))
-        .withColumn("model_id", F.lit(model_id))
-        .write.mode(mode)
-        .partitionBy("model_id")
-        .parquet(path)
-    )
+    _append(new.observe(written, F.count(F.lit(1)).alias("n")), path, model_id, mode)
     total = read_vectors(new.sparkSession, path, model_id).count()
     return IndexReport(written.get["n"], total)
+
+
+def _append(new: DataFrame, path: str, model_id: str, mode: str) -> None:
+    new.withColumn("model_id", F.lit(model_id)).write.mode(mode).partitionBy("model_id").parquet(path)

@@ -31,6 +31,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/facetrank/{_block.get()}{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _file_system(spark, path)
+    return files.exists(place)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Intermediate tables written inside the block are removed at its end, after errors too.
@@ -43,8 +53,8 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _block.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        place, files = _file_system(spark, folder)
+        files.delete(place, True)
 
 
 def write_once(df: DataFrame, label: str) -> DataFrame:

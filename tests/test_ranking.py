@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from facetrank.operators.cells import nearest, nearest_in_block
 from facetrank.operators.facet_keys import KEY, candidates, number_keys, variant_groups
+from facetrank.operators.versions import tagged_groups
 from facetrank.operators.ranking import product_rows, rank_candidates, request_rows
 from facetrank.operators.relax import relaxed_keys
 from facetrank.plans.batch import search_batch
@@ -136,7 +137,7 @@ def test_batch_equals_single_requests(four, vectors, requests):
 
 def test_stored_groups_can_be_passed_in(four, vectors, requests):
     asked = requests({"query_vec": [1.0, 0.0, 0.0]})
-    found = search_batch(four, vectors, asked, groups=variant_groups(four)).results
+    found = search_batch(four, vectors, asked, groups=tagged_groups(four)).results
     assert [r["product_code"] for r in found.orderBy("rank").collect()] == [15, 38, 27, 46]
 
 

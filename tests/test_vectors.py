@@ -175,3 +175,44 @@ def test_vector_sink_refuses_bad_rows(spark, tmp_path):
         store.append_vectors(spark.createDataFrame([(2, [1.0, 0.0, 0.0])], VECTOR_SCHEMA), path, 2, "m")
     store.append_vectors(spark.createDataFrame([(2, [0.0, 1.0])], VECTOR_SCHEMA), path, 2, "m")
     assert store.read_vectors(spark, path, "m").count() == 2
+
+
+class Counted:
+    """An encoder that counts the texts it is given and fails at a call."""
+
+    def __init__(self, encoder, counter, fail_at=None):
+        self.encoder, self.counter, self.fail_at, self.calls = encoder, counter, fail_at, 0
+        self.model_id, self.dim = encoder.model_id, encoder.dim
+
+    def __call__(self, texts, column, output="embedding"):
+        self.calls += 1
+        if self.calls == self.fail_at:
+            raise RuntimeError("lost")
+        self.counter.append(sorted(r["product_code"] for r in texts.select("product_code").collect()))
+        return self.encoder(texts, column, output)
+
+
+def test_lost_build_keeps_its_commits(spark, articles, tmp_path):
+    catalog = articles(*[{"article_id": i, "product_code": i // 2, "detail_desc": f"word{i} and thing{i % 7}"} for i in range(120)])
+    encoder = HashedEncoder.fit(index.product_texts(catalog), "texto", 16)
+    path, whole = str(tmp_path / "index"), str(tmp_path / "whole")
+    first, second, third = [], [], []
+    with pytest.raises(RuntimeError, match="lost"):
+        index.build_index_in_commits(catalog, path, Counted(encoder, first, fail_at=4), products_per_commit=8)
+    done = {p for commit in first for p in commit}
+    assert len(first) == 3 and 0 < len(done) < 60
+    assert {r["product_code"] for r in store.read_vectors(spark, path, encoder.model_id).collect()} == done
+    report = index.build_index_in_commits(catalog, path, Counted(encoder, second), products_per_commit=8)
+    assert report == index.IndexReport(60 - len(done), 60)
+    assert sorted(p for commit in second for p in commit) == sorted(set(range(60)) - done)
+    assert index.build_index_in_commits(catalog, path, Counted(encoder, third)) == index.IndexReport(0, 60)
+    assert third == [[]]
+    index.build_index(catalog, whole, encoder)
+    rows = [sorted(store.read_vectors(spark, p, encoder.model_id).collect()) for p in (path, whole)]
+    assert rows[0] == rows[1]
+
+
+def test_commits_of_an_empty_catalog(spark, articles, tmp_path):
+    catalog = articles({"article_id": 1, "product_code": 1})
+    encoder = HashedEncoder.fit(index.product_texts(catalog), "texto", 4)
+    assert index.build_index_in_commits(catalog.limit(0), str(tmp_path / "index"), encoder) == index.IndexReport(0, 0)

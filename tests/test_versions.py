@@ -1,0 +1,86 @@
+"""Tags of catalogs and groups, profiles of all columns and their sketches."""
+
+import datetime
+
+import pytest
+from facetrank.operators import load, profile, versions
+from facetrank.operators.facet_keys import variant_groups
+from facetrank.plans.batch import facet_search_batch, search_batch
+from pyspark.sql import functions as F
+
+
+@pytest.fixture(scope="module")
+def catalog(articles):
+    return articles(*[
+        {"article_id": i, "product_code": i // 3, "perceived_colour_master_name": ["Red", None, "Blue"][i % 3]} for i in range(1, 31)
+    ]).cache()
+
+
+def test_tag_depends_on_content_alone(catalog, articles):
+    tag = versions.catalog_tag(catalog)
+    assert versions.catalog_tag(catalog.orderBy(F.desc("article_id")).repartition(5)) == tag
+    assert versions.catalog_tag(catalog.withColumn("detail_desc", F.lit("other"))) == tag
+    assert versions.catalog_tag(catalog.limit(0)) == versions.catalog_tag(articles({"article_id": 1, "product_code": 1}).limit(0))
+    others = [
+        catalog.filter("article_id > 1"),
+        catalog.unionByName(catalog),
+        catalog.withColumn("article_id", F.col("article_id") + 1),
+        catalog.withColumn("product_code", F.lit(1).cast("long")),
+        catalog.withColumn("index_group_name", F.lit(None).cast("string")),
+        # The same cells in other columns.
+        catalog.withColumns({"index_group_name": F.col("product_group_name"), "product_group_name": F.col("index_group_name")}),
+        catalog.withColumns({
+            "perceived_colour_master_name": F.col("perceived_colour_value_name"),
+            "perceived_colour_value_name": F.col("perceived_colour_master_name"),
+        }),
+    ]
+    assert len({tag, *[versions.catalog_tag(o) for o in others]}) == len(others) + 1
+
+
+def test_stale_groups_are_refused(spark, catalog, articles, requests, tmp_path):
+    groups = versions.tagged_groups(catalog)
+    groups.write.parquet(str(tmp_path / "groups"))
+    stored = spark.read.parquet(str(tmp_path / "groups"))
+    asked = requests({"publico": "Divided", "query_vec": [1.0, 0.0]}, {"colores": ["Red"], "query_vec": [0.0, 1.0]})
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(11)], "product_code long, embedding array<float>")
+    same = [sorted(map(str, search_batch(catalog, vectors, asked, g).results.collect())) for g in (None, stored)]
+    assert same[0] == same[1] and same[0]
+    batch = articles({"article_id": 40, "product_code": 2}).withColumn("seq", F.lit(1))
+    after = load.upsert(catalog, batch)
+    for refused in (stored, variant_groups(after), stored.unionByName(versions.tagged_groups(after))):
+        with pytest.raises(versions.StaleGroups):
+            search_batch(after, vectors, asked, refused)
+        with pytest.raises(versions.StaleGroups):
+            facet_search_batch(after, asked.drop("query_vec"), refused)
+    fresh = versions.refreshed_groups(stored, catalog, after, batch)
+    assert versions.is_current(fresh, after) and not versions.is_current(fresh, catalog)
+    assert sorted(map(str, fresh.drop("version").collect())) == sorted(
+        map(str, variant_groups(after).select(*fresh.drop("version").columns).collect()))
+    with pytest.raises(versions.StaleGroups):
+        versions.refreshed_groups(fresh, catalog, after, batch)
+    assert versions.is_current(versions.tagged_groups(catalog.limit(0)), catalog.limit(0))
+    assert not versions.is_current(stored.limit(0), catalog)
+
+
+def test_profile_of_every_type(spark):
+    day = datetime.date(2020, 1, 1)
+    rows = [(1, 0.0, [1, 2], day, b"x", (1, "a"), "t"), (1, -0.0, [1, 2], day, b"y", (1, "b"), None), (None,) * 7]
+    df = spark.createDataFrame(rows, "a int, b double, c array<int>, d date, e binary, f struct<x:int,y:string>, g string")
+    found = {r["columna"]: (r["filas"], r["nulos"], r["distintos"]) for r in profile.column_profile(df, every_type=True).collect()}
+    assert found == {"a": (3, 1, 1), "b": (3, 1, 1), "c": (3, 1, 1), "d": (3, 1, 1), "e": (3, 1, 2), "f": (3, 1, 2), "g": (3, 2, 1)}
+    assert [r["columna"] for r in profile.column_profile(df).collect()] == ["g"]
+    sketched = {r["columna"]: (r["filas"], r["nulos"], r["distintos"])
+                for r in profile.merge_sketches(profile.column_sketches(df)).collect()}
+    assert sketched == found
+
+
+def test_merged_sketches_are_within_three_errors(spark):
+    parts = [spark.range(a, b).select((F.col("id") * 7919).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id") % 5000).alias("few"))
+             for a, b in ((0, 120_000), (60_000, 200_000), (5, 5))]
+    stored = [profile.column_sketches(p) for p in parts]
+    merged = {r["columna"]: r for r in profile.merge_sketches(stored[0].unionByName(stored[1]).unionByName(stored[2])).collect()}
+    bound = 3 * 1.04 / 2 ** (profile.SKETCH_LG_K / 2)
+    for name, exact in (("k", 200_000), ("few", 2_500)):
+        assert merged[name]["filas"] == 260_000
+        assert abs(merged[name]["distintos"] - exact) <= bound * exact
+    assert merged["few"]["nulos"] == 130_000

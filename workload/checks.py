@@ -6,6 +6,7 @@ that fails, per request the minimum of it.
 
 from __future__ import annotations
 
+from facetrank.schema import CATALOG_COLUMNS
 from workload import tables as t
 
 _ARTICLES = t.sql_text(t.ARTICLES)
@@ -146,6 +147,8 @@ _STRING_COLUMNS = (
 )
 _LONG_FORM = " UNION ALL ".join(f"SELECT '{c}' AS columna, {c} AS valor FROM articles" for c in _STRING_COLUMNS)
 
+_EVERY_COLUMN = " UNION ALL ".join(f"SELECT '{c}' AS columna, CAST({c} AS VARCHAR) AS valor FROM articles" for c in CATALOG_COLUMNS)
+
 # Model answers: an answer is usable if it is one JSON object, or a list without elements.
 _SCALARS = {"publico": t.TYPES, "categoria": t.NOUNS, "tono": t.TONES, "estampado": t.BRANDS}
 _COLOUR_LISTS = ("colores", "colores_excluidos")
@@ -357,6 +360,11 @@ SELECT count(*) AS leidas, count(*) FILTER (NOT known) AS fuera_de_lista,
     "column_profile": f"""
 {_WITH}, pairs AS ({_LONG_FORM})
 SELECT columna, count(*) AS filas, count(*) - count(valor) AS nulos, count(DISTINCT valor) AS distintos
+FROM pairs GROUP BY columna""",
+    "profile_sketched": f"""
+WITH first AS ({t.sql_text(t.FIRST_LOAD)}), second AS ({t.sql_text(t.SECOND_LOAD)}),
+articles AS (SELECT * FROM first UNION ALL SELECT * EXCLUDE (seq) FROM second), pairs AS ({_EVERY_COLUMN})
+SELECT columna, count(*) AS filas, count(*) - count(valor) AS nulos, count(DISTINCT valor) AS distintos, true AS dentro
 FROM pairs GROUP BY columna""",
     "value_counts": f"""
 {_WITH}, pairs AS ({_LONG_FORM}),
@@ -400,6 +408,26 @@ WHERE product_code NOT IN (SELECT vec_id FROM embeddings WHERE label <> 0) GROUP
 SELECT v.id AS product_code, 64 AS dim, 1.0 AS norma, n.primera, n.total - n.primera AS segunda,
   array_to_string(list_transform(v.embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT)), ',') AS valores,
   0 AS tercera, n.total FROM indexed v, n""",
+    "index_in_commits": f"""
+{_WITH}, n AS (
+  SELECT (SELECT count(*) FROM ({_INDEX_HALF})) AS primera, count(DISTINCT product_code) AS total FROM articles),
+{_PRODUCT_TEXTS}, {_encoded("indexed", "texts", "texts")}
+SELECT v.id AS product_code, n.primera, n.total - n.primera AS segunda, n.total,
+  array_to_string(list_transform(v.embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT)), ',') AS valores
+FROM indexed v, n""",
+    "groups_current": f"""
+WITH stored AS ({t.sql_text(t.FIRST_LOAD)}), batch AS ({t.sql_text(t.SECOND_LOAD)}),
+every AS (SELECT *, -1 AS seq FROM stored UNION ALL SELECT * FROM batch),
+last AS (SELECT article_id, max(seq) AS seq FROM every GROUP BY article_id),
+two AS (SELECT 1 AS n, * EXCLUDE (seq) FROM every WHERE seq = -1
+  UNION ALL SELECT 2, * EXCLUDE (seq) FROM every JOIN last USING (article_id, seq)),
+grouped AS (SELECT n, product_code, graphical_appearance_name, perceived_colour_value_name, perceived_colour_master_name,
+  product_group_name, index_group_name, count(*) AS variantes FROM two GROUP BY ALL),
+told AS (SELECT n, count(*) AS grupos, CAST(sum(variantes) AS BIGINT) AS articulos FROM grouped GROUP BY n)
+SELECT a.n AS version, b.n AS catalogo, a.grupos, a.articulos, a.n = b.n OR NOT EXISTS (
+  SELECT article_id, product_code, graphical_appearance_name FROM two WHERE n = a.n
+  EXCEPT SELECT article_id, product_code, graphical_appearance_name FROM two WHERE n = b.n) AS vigente
+FROM told a CROSS JOIN told b""",
     "groups_refreshed": f"""
 WITH stored AS ({t.sql_text(t.FIRST_LOAD)}), batch AS ({t.sql_text(t.SECOND_LOAD)}),
 every AS (SELECT *, -1 AS seq FROM stored UNION ALL SELECT * FROM batch),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetrank.functions import text, vectors as vec
-from facetrank.operators import answers, encoder, facet_keys, load, profile, relax
+from facetrank.operators import answers, encoder, facet_keys, load, profile, relax, versions
 from facetrank.plans import batch, index, phrase, reports, search
 from facetrank.plans import load as load_plan
 from facetrank.schema import CATALOG_COLUMNS, FILTER_FIELDS, HARD_FIELDS, Filters
-from facetrank.shared import scratch_path
+from facetrank.shared import scratch_path, write_once
 from facetrank.sources import csv, tables as store
 from workload import tables as t
 
@@ -165,6 +167,24 @@ def groups_refreshed(spark, sf):
     return facet_keys.refresh_groups(facet_keys.variant_groups(first), first, after, second)
 
 
+def groups_current(spark, sf):
+    """Stored groups of two versions of the catalog against each of them: only those of the same version are taken."""
+    first, second = t.view(spark, sf, t.FIRST_LOAD), t.view(spark, sf, t.SECOND_LOAD)
+    catalogs = {1: first, 2: load.upsert(first, second)}
+    paths = {number: scratch_path(spark, "groups") for number in catalogs}
+    versions.tagged_groups(first).write.parquet(paths[1])
+    stored = {1: spark.read.parquet(paths[1])}
+    versions.refreshed_groups(stored[1], first, catalogs[2], second).write.parquet(paths[2])
+    stored[2] = spark.read.parquet(paths[2])
+    shown = [
+        groups.agg(F.count(F.lit(1)).alias("grupos"), F.sum("variantes").alias("articulos")).select(
+            "*", F.lit(a).alias("version"), F.lit(b).alias("catalogo"), F.lit(versions.is_current(groups, catalogs[b])).alias("vigente")
+        )
+        for a, groups in stored.items() for b in catalogs
+    ]
+    return reduce(DataFrame.unionByName, shown)
+
+
 def catalog_checked(spark, sf):
     """Write a version of the catalog, read it back, and look for repeated keys."""
     path = scratch_path(spark, "catalog")
@@ -214,6 +234,19 @@ def column_profile(spark, sf):
     return profile.column_profile(t.catalog(spark, sf))
 
 
+def profile_sketched(spark, sf):
+    """Every column of two loads: exact figures of both, and whether the merged sketches of each are within three errors."""
+    loads = [t.view(spark, sf, sql).select(*CATALOG_COLUMNS) for sql in (t.FIRST_LOAD, t.SECOND_LOAD)]
+    stored = [write_once(profile.column_sketches(rows), "sketches") for rows in loads]
+    near = profile.merge_sketches(reduce(DataFrame.unionByName, stored))
+    near = near.select("columna", F.col("filas").alias("_filas"), F.col("nulos").alias("_nulos"), F.col("distintos").alias("_distintos"))
+    exact = profile.column_profile(reduce(DataFrame.unionByName, loads), every_type=True)
+    bound = 3 * 1.04 / 2 ** (profile.SKETCH_LG_K / 2)
+    close = F.abs(F.col("_distintos") - F.col("distintos")) <= F.lit(bound) * F.col("distintos")
+    same = (F.col("_filas") == F.col("filas")) & (F.col("_nulos") == F.col("nulos"))
+    return exact.join(near, "columna").select("columna", "filas", "nulos", "distintos", (same & close).alias("dentro"))
+
+
 def value_counts(spark, sf):
     return profile.value_counts(t.catalog(spark, sf))
 
@@ -279,6 +312,24 @@ def index_build(spark, sf):
     )
 
 
+def index_in_commits(spark, sf):
+    """An index over half the catalog in commits, then the rest of the whole catalog as after a lost run."""
+    path = scratch_path(spark, "index")
+    whole = t.catalog(spark, sf)
+    model = encoder.HashedEncoder.fit(index.product_texts(whole), "texto", t.DIM)
+    half = t.view(spark, sf, t.FIRST_LOAD)
+    per_commit = half.count() // 8
+    first = index.build_index_in_commits(half, path, model, per_commit)
+    second = index.build_index_in_commits(whole, path, model, per_commit)
+    return store.read_vectors(spark, path, model.model_id).select(
+        "product_code",
+        F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("long").cast("string")), ",").alias("valores"),
+        F.lit(first.indexados).alias("primera"),
+        F.lit(second.indexados).alias("segunda"),
+        F.lit(second.total).alias("total"),
+    )
+
+
 # Model answers
 
 
@@ -328,11 +379,11 @@ QUERIES = {
         hybrid_search, facet_search, facet_in_notin, facet_count, knn_global,
         strict_requests, facet_batch, facet_envelopes, relax_batch, hybrid_batch, search_envelopes,
         filter_report, filters_as_json,
-        catalog_clean, catalog_from_csv, catalog_first_rows, load_catalog, upsert_last_wins, groups_refreshed, catalog_checked, vectors_stored,
+        catalog_clean, catalog_from_csv, catalog_first_rows, load_catalog, upsert_last_wins, groups_refreshed, groups_current, catalog_checked, vectors_stored,
         tables_ready, catalog_totals, facet_distribution, load_report,
-        column_profile, value_counts, text_nulls, text_sample,
+        column_profile, profile_sketched, value_counts, text_nulls, text_sample,
         masked_mean_pool, l2_normalize,
-        product_texts, pending_products, index_build,
+        product_texts, pending_products, index_build, index_in_commits,
         validate_answers, answers_to_search, phrase_search, phrase_envelopes,
     )
 }
