@@ -250,6 +250,16 @@ _PHRASE_REQUESTS = "SELECT f.*, a.embedding AS query_vec, 5 AS limite FROM field
 
 _INDEX_HALF = f"SELECT DISTINCT product_code FROM ({t.sql_text(t.FIRST_LOAD)})"
 
+_KNN = f"""
+{_WITH}, nearest AS (
+  SELECT v.product_code, {_distance("v.embedding", "q.embedding")} AS d
+  FROM vectors v, (SELECT embedding FROM embeddings WHERE vec_id = 11) q
+  ORDER BY d, v.product_code LIMIT 30),
+picked AS (
+  SELECT product_code, d, min(article_id) AS article_id, count(*) AS variantes
+  FROM nearest JOIN articles USING (product_code) GROUP BY product_code, d)
+SELECT a.*, p.variantes, round(p.d, 4) AS distancia FROM picked p JOIN articles a USING (article_id, product_code)"""
+
 CHECKS = {
     "hybrid_search": f"""
 {_WITH}, picked AS (
@@ -266,15 +276,8 @@ ORDER BY {_distance("v.embedding", "q.embedding")}, product_code LIMIT 24""",
     "facet_count": f"""
 {_WITH} SELECT count(DISTINCT product_code) AS productos FROM articles
 WHERE index_group_name = 'MEDIUM' AND perceived_colour_master_name NOT IN ('blue', 'hot')""",
-    "knn_global": f"""
-{_WITH}, nearest AS (
-  SELECT v.product_code, {_distance("v.embedding", "q.embedding")} AS d
-  FROM vectors v, (SELECT embedding FROM embeddings WHERE vec_id = 11) q
-  ORDER BY d, v.product_code LIMIT 30),
-picked AS (
-  SELECT product_code, d, min(article_id) AS article_id, count(*) AS variantes
-  FROM nearest JOIN articles USING (product_code) GROUP BY product_code, d)
-SELECT a.*, p.variantes, round(p.d, 4) AS distancia FROM picked p JOIN articles a USING (article_id, product_code)""",
+    "knn_buckets": _KNN,
+    "knn_global": _KNN,
     "strict_requests": f"WITH asked AS ({_UNCHECKED}) {_REJECTED}",
     "facet_batch": f"""{_FACET_BATCH}
 SELECT r.query_id, r.rank, r.variantes, a.* FROM results r JOIN articles a USING (article_id, product_code)""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from facetrank.functions import text, vectors as vec
 from facetrank.operators import answers, encoder, facet_keys, load, profile, relax, versions
-from facetrank.plans import batch, index, phrase, reports, search
+from facetrank.plans import batch, buckets, index, phrase, reports, search
 from facetrank.plans import load as load_plan
 from facetrank.schema import CATALOG_COLUMNS, FILTER_FIELDS, HARD_FIELDS, Filters
 from facetrank.shared import scratch_path, write_once
@@ -63,6 +63,13 @@ def knn_global(spark, sf):
     )
 
 
+def knn_buckets(spark, sf):
+    """The nearest products through buckets, exactly."""
+    stored = buckets.build_buckets(t.vectors(spark, sf), scratch_path(spark, "buckets"))
+    query_vec = t.vector_of(spark, sf, KNN_VECTOR)
+    return _rounded(buckets.nearest_by_buckets(t.catalog(spark, sf), stored, query_vec, KNN_LIMIT))
+
+
 # Tables of requests
 
 
@@ -376,7 +383,7 @@ def phrase_envelopes(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_search, facet_search, facet_in_notin, facet_count, knn_global,
+        hybrid_search, facet_search, facet_in_notin, facet_count, knn_global, knn_buckets,
         strict_requests, facet_batch, facet_envelopes, relax_batch, hybrid_batch, search_envelopes,
         filter_report, filters_as_json,
         catalog_clean, catalog_from_csv, catalog_first_rows, load_catalog, upsert_last_wins, groups_refreshed, groups_current, catalog_checked, vectors_stored,
