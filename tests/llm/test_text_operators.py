@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import SF
@@ -174,6 +175,56 @@ def test_quality_rules_measures(documents):
     assert quality_rules.judge(documents([]), quality_rules.ordered_rules(documents([]))).collect() == []
 
 
+def plain_kept(text):
+    """The verdict of base and rules, from definitions alone."""
+    text = text or ""
+    found = [w.decode() for w in text.encode().split()]
+    windows = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+    counts = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(5)}
+    if len(found) < 10 or 5 * len(covered) > len(found):
+        return False
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    cased = [c for c in text if c.isupper() or c.islower()]
+    chars = "".join(found)
+    return not (
+        len(chars) < 2 * len(found) or len(chars) > 20 * len(found)
+        or 5 * len(re.findall(r"[#*$%&|<>]", text)) > len(found)
+        or sum(c.isupper() for c in cased) > 0.6 * len(cased)
+        or 4 * len(re.findall(r"[!?]", text)) > len(found)
+        or 3 * (len(lines) - len(set(lines))) > len(lines)
+        or 4 * len([c for c in chars if c.isalpha()]) < len(chars)
+        or 10 * len([x for x in lines if x.encode().rstrip().decode().endswith(("...", "\u2026"))]) > 3 * len(lines)
+    )
+
+
+#: One text that each rule alone rejects, in the order of the rules.
+REJECTED = (
+    " ".join("abcdefghijklmno"), " ".join(f"word{i} #" if i % 2 else f"word{i}" for i in range(40)),
+    " ".join(f"LOUD{i}" for i in range(40)), " ".join(f"word{i}{'!' * (i % 2)}" for i in range(40)),
+    "\n".join(["same"] * 4 + [f"aa bb{i} cc" for i in range(3)]), " ".join(f"{i * 7919}a" for i in range(10**4, 10**4 + 40)),
+    "\n".join(f"broken off {i}..." for i in range(20)),
+)
+
+
+def test_quality_verdicts_equal_brute_force(spark, documents):
+    rows = [*ODD, *enumerate(REJECTED, 30), (50, " ".join(f"plain{i}" for i in range(40)))]
+    docs = documents(rows)
+    got = quality_rules.judge(docs, quality_rules.ordered_rules(docs)).collect()
+    assert Counter((r.doc_id, r.kept) for r in got) == Counter((i, plain_kept(t)) for i, t in rows)
+    alone = {r.doc_id: r.rejected_by for r in got}
+    assert [alone[30 + i] for i in range(len(REJECTED))] == [r.name for r in quality_rules.RULES] and alone[50] is None
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = {r.doc_id: r.kept for r in QUERIES["op2_rule_cascade"](spark, SF).collect()}
+    assert found == {i: plain_kept(t) for i, t in texts.items()}
+
+
+def test_rules_cost_what_they_add():
+    texts = [" ".join(f"word{i}" for i in range(5000))] * 20
+    cost = dict(zip((r.name for r in quality_rules.RULES), quality_rules.measure(quality_rules.RULES, texts)[0]))
+    assert 20 * cost["symbols"] < cost["capitals"] and 20 * cost["repeated_lines"] < cost["letters"]
+
+
 def test_order_of_rules_changes_no_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     some = {r.doc_id: r.kept for r in quality_rules.judge(docs, quality_rules.RULES).collect()}
@@ -360,12 +411,27 @@ def test_mixing_reaches_its_targets(spark):
 def test_mixing_at_large_rates(spark):
     docs = spark.range(100).select(
         F.col("id").alias("doc_id"), F.lit("abcde").alias("text"), F.lit("small").alias("source"))
-    for rate in (700.0, 1000.0, 2000.0):
+    for rate in (150.0, 700.0, 1000.0, 5000.0):
         copies = [r["count"] for r in mixing.mix(docs, epochs=rate).groupBy("doc_id").count().collect()]
         assert len(copies) == 100 and abs(np.mean(copies) - rate) < 5 * (rate / 100) ** 0.5
         assert 0.6 * rate < np.var(copies) < 1.6 * rate
 
 
+def test_mixing_equals_its_sql_at_any_rate(spark, documents):
+    """Sources with rates below 1, of some tens, above 100 and above 1,000."""
+    rows = [*((f"big {i}", "big") for i in range(3000)), *((f"middle {i}", "middle") for i in range(30)),
+            *((f"few {i}", None) for i in range(13)), ("one doc", "one")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (t, s) in enumerate(rows)], documents([]).select(
+        "doc_id", "text", "lang", "source", "n_chars").schema)
+    got = mixing.mix(docs, temperature=0.0, epochs=2.0).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(mixing.mix_sql("documents", temperature=0.0, epochs=2.0)).df()
+    assert len(got) > 5_000 and got.groupby("doc_id").size().max() > 1000
+    names = ["doc_id", "copy", "shuffle_key"]
+    assert sorted(map(tuple, got[names].to_numpy().tolist())) == sorted(map(tuple, want[names].to_numpy().tolist()))
+
+
 def test_patience():
     a, b = [1, 2, 3, 9, 4, 5, 9], [7, 2, 3, 8, 4, 5, 6, 9]
     assert line_dedup.patience(a, b) == [(1, 1), (2, 2), (4, 4), (5, 5), (6, 7)]
