@@ -9,6 +9,7 @@ from facetrank.functions.text import display_list
 from facetrank.plans.batch import Answers
 from facetrank.plans.search import FACET_RESULT, RANKED_RESULT
 from facetrank.schema import FILTER_FIELDS, HARD_FIELDS, LIST_FIELDS
+from facetrank.shared import by_shuffle
 
 
 def _results_per_request(requests: DataFrame, results: DataFrame, columns) -> DataFrame:
@@ -22,7 +23,7 @@ def _results_per_request(requests: DataFrame, results: DataFrame, columns) -> Da
     )
     empty = F.array().cast(lists.schema["resultados"].dataType)
     return (
-        requests.join(lists, "query_id", "left")
+        requests.join(by_shuffle(lists), "query_id", "left")
         .withColumn("total", F.coalesce("total", F.lit(0)))
         .withColumn("resultados", F.coalesce("resultados", empty))
     )
