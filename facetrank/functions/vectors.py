@@ -7,6 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from facetrank.functions.arrays import partial_sums
 
 # Floors that keep empty masks and zero vectors from dividing by zero.
 MIN_MASK_SUM = 1e-9
@@ -73,15 +76,16 @@ def masked_mean_pool(
 ) -> DataFrame:
     """One vector per text: sum(vec * mask) / max(sum(mask), 1e-9).
 
-    A hash aggregate by text and place, in generated code for every dimension. Sums are combined on the map side, so a
-    text with very many tokens reaches its reducers as a few numbers a place. A null mask counts as zero; texts whose mask is
-    all zero give a zero vector.
+    Tokens are summed by text where they are, batch by batch, so a run of a text's tokens becomes one row before anything is shuffled;
+    the rows of a text then meet in one task as a few sums a place. Memory is that of a batch, whatever the number of texts. A null mask
+    counts as zero, as does a null component beside others; texts whose mask is all zero give a zero vector.
     """
     weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
     checked = tokens.select(F.col(key).alias("_key"), weight.alias("_weight"), checked_vector(F.col(vec), dim).alias("_vec"))
-    places = checked.select("_key", "_weight", F.posexplode("_vec").alias("_place", "_x"))
-    sums = places.groupBy("_key", "_place").agg(
-        F.sum(F.col("_x").cast("double") * F.col("_weight")).alias("_sum"), F.sum("_weight").alias("_total"))
+    partial = T.StructType([checked.schema["_key"], T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_total", T.DoubleType())])
+    summed = checked.mapInArrow(partial_sums, partial).repartition("_key")
+    places = summed.select("_key", "_total", F.posexplode("_sums").alias("_place", "_x"))
+    sums = places.groupBy("_key", "_place").agg(F.sum("_x").alias("_sum"), F.sum("_total").alias("_total"))
     mean = F.struct("_place", (F.col("_sum") / F.greatest("_total", F.lit(MIN_MASK_SUM))).alias("_mean"))
     pooled = sums.groupBy("_key").agg(F.array_sort(F.collect_list(mean)).alias("_means"))
     return pooled.select(F.col("_key").alias(key), F.col("_means._mean").alias(vec))

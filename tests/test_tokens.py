@@ -1,0 +1,66 @@
+"""Tokens of the workload by blocks, and pooling of runs of tokens."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from facetrank.functions import vectors as vec
+from facetrank.functions.arrays import partial_sums
+from pyspark.sql import functions as F
+from workload import tables as t
+
+
+@pytest.fixture
+def given(spark, tmp_path):
+    """Documents and embeddings with repeated, null and missing keys."""
+    texts = [(i, " ".join("w" * (1 + (i + j) % 5) for j in range(i % 40))) for i in range(120)]
+    docs = [*texts, (7, "a bb ccc"), (None, "no key"), (130, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, [float(i), 1.0]) for i in range(60)] + [(5, [0.5, 2.0]), (None, [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("block_vectors", [10, 1000])
+def test_tokens_are_those_of_the_sql(spark, given, plan_of, block_vectors):
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    try:
+        found = t.tokens(spark, given, block_vectors=block_vectors, cell_texts=30)
+        plan = plan_of(found)
+        assert "SortMergeJoin" not in plan
+        if block_vectors == 10:  # dealt by place alone, so that the words of a text stay together
+            assert "ShuffledHashJoin" in plan and plan.count("hashpartitioning(place#") == 2
+            assert ", vec_id#" not in "".join(x for x in plan.splitlines() if "hashpartitioning(" in x)
+        rows = sorted(found.collect())
+        assert rows == sorted(t.view(spark, given, t.SPARK_TOKENS).select(found.columns).collect()) and len(rows) > 500
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+
+
+def test_a_run_of_tokens_is_shuffled_as_one_row(spark, plan_of):
+    """A text of many tokens becomes a row a batch before the shuffle, whatever the dimensions."""
+    key = pa.array(["a"] * 500 + [None] * 3 + ["a"] * 2)
+    batch = pa.record_batch(
+        [key, pa.array([1.0] * 504 + [0.0]), pa.array([[1.0, None if k is None else 2.0] for k in key.to_pylist()], pa.list_(pa.float32()))],
+        names=["_key", "_weight", "_vec"])
+    (out,) = partial_sums(iter([batch]))
+    assert out.to_pylist() == [
+        {"_key": "a", "_sums": [501.0, 1002.0], "_total": 501.0}, {"_key": None, "_sums": [3.0, None], "_total": 3.0}]
+    tokens = spark.range(1000).select((F.col("id") % 2).alias("text_id"), F.lit(1).alias("mask"), F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    plan = plan_of(vec.masked_mean_pool(tokens, "text_id", 2))
+    assert plan.index("Generate") < plan.index("Exchange") < plan.index("MapInArrow")
+
+
+@pytest.mark.parametrize("kind", ["struct", "string", "double"])
+def test_keys_of_any_type_and_order(spark, kind):
+    rng = np.random.default_rng(0)
+    rows = [(int(k), float(m), [float(a), float(b)]) for k, m, (a, b) in zip(
+        rng.integers(0, 7, 300), rng.integers(0, 2, 300), rng.normal(size=(300, 2)))]
+    key = {"struct": F.struct(F.col("n"), F.lit("x").alias("s")), "string": F.col("n").cast("string"), "double": F.col("n").cast("double")}[kind]
+    df = spark.createDataFrame(rows, "n long, mask double, vec array<double>").withColumn("key", key).repartition(3)
+    got = vec.masked_mean_pool(df, "key", 2).collect()
+    number = {"struct": lambda k: k["n"], "string": int, "double": int}[kind]
+    assert len(got) == 7
+    for r in got:
+        mine = [(m, v) for n, m, v in rows if n == number(r["key"])]
+        total = max(sum(m for m, _ in mine), 1e-9)
+        assert r["vec"] == pytest.approx([sum(m * v[i] for m, v in mine) / total for i in range(2)])
