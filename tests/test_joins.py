@@ -2,7 +2,7 @@
 
 import re
 
-from facetrank.operators.facet_keys import variant_groups
+from facetrank.operators.facet_keys import candidates, matching_keys, number_keys, request_levels, variant_groups
 from facetrank.operators.ranking import request_rows
 from facetrank.operators.relax import apply_relaxation
 from facetrank.plans.batch import search_batch
@@ -23,6 +23,16 @@ def test_requests_are_not_broadcast(spark, four, requests, plan_of):
     assert by_request == ["SortMergeJoin"], plan
 
 
+def test_levels_and_groups_are_not_broadcast(spark, four, requests, plan_of):
+    groups = write_once(variant_groups(four), "groups")
+    levels = request_levels(write_once(requests({"publico": "Sport"}, {}), "requests"))
+    matches = matching_keys(levels, groups)
+    assert re.findall(r"\(\d+\) (\w+Join).*\nLeft keys \[5\]: \[mask", plan_of(matches)) == ["SortMergeJoin"]
+    found = candidates(groups, number_keys(write_once(matches, "matches")))
+    assert re.findall(r"\(\d+\) (\w+Join).*\nLeft keys \[10\]", plan_of(found)) == ["SortMergeJoin"]
+    assert found.select("product_code").distinct().count() == 4
+
+
 def test_vectors_are_not_broadcast(spark, four, requests, plan_of):
     vectors = spark.createDataFrame([(15, [1.0, 0.0, 0.0])], VECTOR_SCHEMA)
     found = search_batch(four, vectors, requests({"query_vec": [1.0, 0.0, 0.0]})).results
