@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetrank.functions.vectors import MIN_NORM, checked_vector, l2_normalize
+from facetrank.shared import released_shuffles
 
 # Fixed value: texts per call of a model.
 BATCH_SIZE = 64
@@ -70,8 +71,9 @@ class HashedEncoder:
             return pa.array([[*{b for b, _ in _hashed(t, dim)}, dim] for t in column.to_pylist()], pa.list_(pa.int32()))
 
         # A row a bucket reaches the driver.
-        counts = texts.select(F.explode(buckets(column)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        n = {row["bucket"]: row["n"] for row in counts.collect()}
+        with released_shuffles(texts.sparkSession):
+            counts = texts.select(F.explode(buckets(column)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+            n = {row["bucket"]: row["n"] for row in counts.collect()}
         return cls([math.log((n.get(dim, 0) + 1) / (n.get(b, 0) + 1)) for b in range(dim)], model_id)
 
     def save(self, path: str) -> None:

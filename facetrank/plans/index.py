@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from facetrank.functions.text import product_text
 from facetrank.operators.products import one_per_product
-from facetrank.shared import path_exists, write_once
+from facetrank.shared import path_exists, released_shuffles, write_once
 from facetrank.sources.tables import check_vectors, read_vectors
 
 #: Places of the hash that deals products to commits.
@@ -106,4 +106,5 @@ def _write(new: DataFrame, path: str, model_id: str, mode: str) -> IndexReport:
 
 
 def _append(new: DataFrame, path: str, model_id: str, mode: str) -> None:
-    new.withColumn("model_id", F.lit(model_id)).write.mode(mode).partitionBy("model_id").parquet(path)
+    with released_shuffles(new.sparkSession):
+        new.withColumn("model_id", F.lit(model_id)).write.mode(mode).partitionBy("model_id").parquet(path)
