@@ -13,19 +13,26 @@ from facetrank.shared import by_shuffle
 
 
 def _results_per_request(requests: DataFrame, results: DataFrame, columns) -> DataFrame:
-    """Add `total` and `resultados`; requests without results keep 0 and an empty array.
+    """Add `total`, `resultados` and `productos`; requests without results keep 0 and empty arrays.
 
-    A request has at most `MAX_LIMIT` rows, so the collected arrays are bounded.
+    A request has at most `MAX_LIMIT` rows, so the collected arrays are bounded. `productos` has the product codes of `resultados` as a list of
+    its own: Spark drops a whole list that nobody reads, but no field of one, so whoever wants the codes alone would shuffle
+    the texts of every row.
     """
     lists = results.groupBy("query_id").agg(
         F.count("*").alias("total"),
         F.sort_array(F.collect_list(F.struct("rank", *columns))).alias("resultados"),
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_code"))), lambda r: r["product_code"]).alias("productos"),
     )
-    empty = F.array().cast(lists.schema["resultados"].dataType)
+
+    def or_empty(name: str) -> Column:
+        return F.coalesce(name, F.array().cast(lists.schema[name].dataType))
+
     return (
         requests.join(by_shuffle(lists), "query_id", "left")
         .withColumn("total", F.coalesce("total", F.lit(0)))
-        .withColumn("resultados", F.coalesce("resultados", empty))
+        .withColumn("resultados", or_empty("resultados"))
+        .withColumn("productos", or_empty("productos"))
     )
 
 
@@ -33,8 +40,8 @@ def _filters(prefix: str, fields) -> Column:
     return F.struct(*[F.col(prefix + f).alias(f) for f in fields])
 
 
-def envelopes(answers: Answers) -> DataFrame:
-    """(query_id, frase, total, filtros_pedidos, filtros_aplicados, filtros_relajados, resultados)."""
+def envelopes(answers: Answers, with_codes: bool = False) -> DataFrame:
+    """(query_id, frase, total, filtros_pedidos, filtros_aplicados, filtros_relajados, resultados), and `productos` if wanted."""
     joined = _results_per_request(answers.requests, answers.results, RANKED_RESULT)
     return joined.select(
         "query_id",
@@ -44,6 +51,7 @@ def envelopes(answers: Answers) -> DataFrame:
         _filters("aplicado_", FILTER_FIELDS).alias("filtros_aplicados"),
         "filtros_relajados",
         "resultados",
+        *(["productos"] if with_codes else []),
     )
 
 

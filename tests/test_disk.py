@@ -9,7 +9,8 @@ from facetrank.operators import ranking
 from facetrank.operators.cells import Cell, _entries
 from facetrank.operators.encoder import HashedEncoder
 from facetrank.plans import index
-from facetrank.schema import VECTOR_SCHEMA
+from facetrank.plans.phrase import search_phrases
+from facetrank.schema import CLOTHING, VECTOR_SCHEMA
 from facetrank.shared import write_once
 from pyspark.sql import functions as F
 
@@ -94,3 +95,20 @@ def test_finished_steps_leave_no_shuffle_files(spark, articles, tmp_path):
     # Three shuffles of the texts were left, 120 KB at least; the count of the index leaves a few rows.
     assert _shuffled(spark) < before + 10_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_product_codes_of_envelopes_come_without_texts(spark, four, plan_of, tmp_path):
+    path = str(tmp_path / "index")
+    encoder = HashedEncoder.fit(index.product_texts(four), "texto", 16)
+    index.build_index(four, path, encoder)
+    phrases = spark.createDataFrame(
+        [(1, "rain hat", '{"publico":"Sport"}', None), (2, "wool", '{"colores_excluidos":["Yellow","Grey","Green","Pink"]}', None), (3, "shorts", None, None)],
+        "query_id long, frase string, response_1 string, response_2 string")
+    found = search_phrases(four, path, phrases, CLOTHING, encoder, limit=2)
+    rows = {r["query_id"]: r for r in found.collect()}
+    assert {q: r["productos"] for q, r in rows.items()} == {q: [p["product_code"] for p in r["resultados"]] for q, r in rows.items()}
+    assert (rows[1]["productos"], rows[2]["productos"], len(rows[3]["productos"])) == ([15], [], 2)
+    assert rows[1]["resultados"][0]["detail_desc"] == "Woven by hand."
+    assert "detail_desc" in plan_of(found).split("Exchange", 1)[1]
+    lists = plan_of(found.select("query_id", "productos"))
+    assert "collect_list" in lists and not any("detail_desc" in line for line in lists.splitlines() if "collect_list" in line)
