@@ -13,6 +13,7 @@ from facetrank.plans.phrase import search_phrases
 from facetrank.schema import CLOTHING, VECTOR_SCHEMA
 from facetrank.shared import write_once
 from pyspark.sql import functions as F
+from workload import tables as t
 
 
 @pytest.fixture
@@ -32,8 +33,8 @@ def ranked_input(spark):
     )
 
 
-# Four cells that read two blocks, and two cells with two stripes of a block each.
-@pytest.mark.parametrize("block_products, cell_requests", [(20, 2), (20, 6)])
+# Four cells that read a block, four that read two, and two cells with two stripes of a block each.
+@pytest.mark.parametrize("block_products, cell_requests", [(40, 2), (20, 2), (20, 6)])
 def test_blocks_and_cells_copy_nothing(spark, ranked_input, monkeypatch, block_products, cell_requests):
     vector, held, asks, queries, tables = ranked_input
     sent = []
@@ -112,3 +113,15 @@ def test_product_codes_of_envelopes_come_without_texts(spark, four, plan_of, tmp
     assert "detail_desc" in plan_of(found).split("Exchange", 1)[1]
     lists = plan_of(found.select("query_id", "productos"))
     assert "collect_list" in lists and not any("detail_desc" in line for line in lists.splitlines() if "collect_list" in line)
+
+
+def test_texts_of_few_articles_are_not_shuffled(spark, plan_of, tmp_path):
+    spark.range(20).select(
+        F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), F.lit("SMALL").alias("p_type"), F.lit("Brand#1").alias("p_brand"),
+        F.lit(2).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(t.BROADCAST_ROWS + 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = t.catalog(spark, str(tmp_path))
+    described = whole.filter("detail_desc IS NOT NULL")
+    plan = plan_of(described)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert described.count() == 20 and whole.count() == 20
